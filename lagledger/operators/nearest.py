@@ -111,7 +111,7 @@ def point_in_interval(
     found = nearest_join(points, starts, keys, time, slicing, tie=tie, direction="backward", out="_iv")
     t = F.col(time)
     held = F.when(t < F.col("_iv")[end], F.col("_iv"))
-    near = ((t - held[start]) < F.lit(guard)) | ((held[end] - t) < F.lit(guard))
+    near = ((t - held[start]) < F.lit(guard)) | ((held[end] - t) <= F.lit(guard))
     return (
         found.withColumn(out, held)
         .withColumn(

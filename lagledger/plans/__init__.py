@@ -2,4 +2,6 @@
 
 MODULES = (
     "synchrony",
+    "frames",
+    "ledgers",
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lagledger.functions.numeric import micros
 from lagledger.operators.scan import Slicing
@@ -20,8 +21,15 @@ DAILY = Slicing(width=DAY_US)
 WEEKLY = Slicing(width=WEEK_US)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; its schema is read from the footer once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def stream(spark: SparkSession, folder: str, event_type: str | None = None) -> DataFrame:
@@ -54,4 +62,4 @@ def clips(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CLIPS_SQL = """SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame_index, label AS group_id, vec_id,
- list_transform(embedding, x -> x::DOUBLE) AS samples FROM embeddings"""
+ list_transform(embedding, lambda x: x::DOUBLE) AS samples FROM embeddings"""

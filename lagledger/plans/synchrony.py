@@ -24,7 +24,7 @@ def lag_ledger(spark: SparkSession, folder: str) -> DataFrame:
     clicks = stream(spark, folder, "click")
     views = stream(spark, folder, "view").select("user_id", "t", F.col("event_id").alias("view_id"))
     matched = nearest_join(clicks, views, ["user_id"], "t", DAILY, tie="view_id")
-    lag = lag_ms(F.col("match.t") / 1e6, F.col("t") / 1e6)
+    lag = lag_ms((F.col("match.t") - F.col("t")) / 1e6, F.lit(0.0))
     return matched.select(
         "event_id", "user_id", "t", "value",
         F.col("user_id").alias("speaker"), group_of().alias("grp"),
@@ -45,7 +45,7 @@ m AS (SELECT c.event_id, v.event_id AS view_id, v.t AS view_t,
   FROM c JOIN v USING (user_id)),
 ledger AS (SELECT c.event_id, c.user_id, c.t, c.value, c.user_id AS speaker, {GROUP_SQL} AS grp,
    c.t // {WEEK_US} AS epoch_id, m.view_id, m.view_t,
-   (m.view_t / 1e6 - c.t / 1e6) * 1000.0 AS lag_ms
+   (m.view_t - c.t) / 1e6 * 1000.0 AS lag_ms
   FROM c LEFT JOIN m ON m.event_id = c.event_id AND m.rn = 1),
 used AS (SELECT * FROM ledger WHERE lag_ms IS NOT NULL AND abs(lag_ms) <= {LIMIT_US / 1000.0}),
 mid AS (SELECT speaker, grp, epoch_id, median(lag_ms) AS median_lag_ms, count(*) AS event_count,
