@@ -12,6 +12,7 @@ from lagledger.functions.numeric import finite
 from lagledger.functions.vectors import mean_abs_difference
 from lagledger.operators.rules import passes, reasons
 from lagledger.operators.scan import Slicing, row_framed, runs, scan
+from lagledger.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -239,6 +240,8 @@ def scene_segments(
     marked = scan(df, keys, order, slicing, before={"_was": F.col(vector)}).withColumn(
         "_cut", F.coalesce((mean_abs_difference(vector, "_was") >= threshold).cast("int"), F.lit(0))
     )
+    # A scan reads its input twice; between two scans the rows are kept.
+    marked = cut_lineage(marked)
     return scan(marked, keys, order, slicing, running={"segment": F.col("_cut")}).drop("_was", "_cut")
 
 
@@ -252,7 +255,7 @@ def freeze_before(
     )
     # The row before is the start of a stretch if it is fresh or the very first.
     start = F.when(~F.col("_was_repeated") | (F.col("_row") == 1), F.col("_was"))
-    held = scan(rows, keys, order, slicing, last_seen={"_anchor": start})
+    held = scan(cut_lineage(rows), keys, order, slicing, last_seen={"_anchor": start})
     span = F.greatest(F.lit(0), F.col("_was") - F.col("_anchor"))
     return held.withColumn(
         name, F.when(F.coalesce("_was_repeated", F.lit(False)), span).otherwise(F.lit(0))
@@ -263,7 +266,7 @@ def rewrite_runs(
     df: DataFrame, keys: Sequence[str], order: str, mask: str, slicing: Slicing, *, close_up_to: int = 0, drop_below: int = 0
 ) -> DataFrame:
     """Fill inner false runs of at most ``close_up_to`` rows, or remove true runs below ``drop_below`` rows."""
-    numbered = runs(df, keys, order, slicing, F.col(mask))
+    numbered = cut_lineage(runs(df, keys, order, slicing, F.col(mask)))
     sizes = numbered.groupBy(*keys, "run_id").agg(F.count(F.lit(1)).alias("_size"))
     ends = sizes.groupBy(*keys).agg(F.max("run_id").alias("_last"))
     out = numbered.join(sizes.join(ends, list(keys)), [*keys, "run_id"])

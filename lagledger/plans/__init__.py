@@ -4,4 +4,5 @@ MODULES = (
     "synchrony",
     "frames",
     "ledgers",
+    "signals",
 )
