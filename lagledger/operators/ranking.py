@@ -38,7 +38,7 @@ def best_and_margin(
         F.coalesce("runner_up", F.lit(0.0)).alias("runner_up_score"),
     ).withColumn("margin", F.col("best_score") - F.col("runner_up_score"))
     ok = (F.col("best_score") >= minimum) & (F.col("margin") >= margin)
-    return out.withColumn("accepted", ok).withColumn("label", F.when(ok, F.col("best_label")).otherwise("unknown"))
+    return out.withColumn("accepted", ok).withColumn("label", F.when(ok, F.col("best_label").cast("string")).otherwise("unknown"))
 
 
 def blind_shuffle(events: DataFrame, ident: str, seed: int, prefix: str = "AR-", digits: int = 4) -> DataFrame:

@@ -5,4 +5,5 @@ MODULES = (
     "frames",
     "ledgers",
     "signals",
+    "texts",
 )
