@@ -34,10 +34,11 @@ def mix32(value: Column) -> Column:
     return F.shiftright(value, 16).bitwiseXOR(value)
 
 
-def draw(seed: int, replicate: Column, slot: Column) -> Column:
+def draw(seed: int | Column, replicate: Column, slot: Column) -> Column:
     """32-bit draw for (seed, replicate, slot); independent of partitioning."""
     mask = F.lit(4294967295)
-    first = mix32((replicate.cast("long") * F.lit(31) + F.lit(seed)).bitwiseAND(mask))
+    start = seed if isinstance(seed, Column) else F.lit(seed)
+    first = mix32((replicate.cast("long") * F.lit(31) + start).bitwiseAND(mask))
     return mix32(first.bitwiseXOR(mix32(slot.cast("long").bitwiseAND(mask))))
 
 
@@ -62,7 +63,7 @@ def cliffs_delta(values: DataFrame, keys: Sequence[str], group: str, value: str)
 
 
 def bootstrap_median_difference(
-    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int
+    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column
 ) -> DataFrame:
     """Percentile interval of the resampled median difference and its share above zero.
 
@@ -124,7 +125,7 @@ def _ranked_pool(values: DataFrame, keys: list[str], group: str, value: str) ->
 
 
 def label_permutation(
-    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int
+    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column
 ) -> DataFrame:
     """One-sided label permutation share, (hits + 1) / (total + 1).
 
@@ -289,7 +290,7 @@ def compare_groups(
     fps: float = 24.0,
     iterations: int = 20_000,
     permutations: int = 100_000,
-    seed: int = 1729,
+    seed: int | Column = 1729,
 ) -> DataFrame:
     """Medians, difference, effect size, interval and permutation share per key.
 
@@ -342,7 +343,7 @@ def compare_groups(
 
 
 def compare_metrics(
-    epochs: DataFrame, keys: Sequence[str], metrics: Sequence[str], *, group: str = "grp", iterations: int, seed: int
+    epochs: DataFrame, keys: Sequence[str], metrics: Sequence[str], *, group: str = "grp", iterations: int, seed: int | Column
 ) -> DataFrame:
     """Candidate minus control per key and metric, one grouped job for all metrics.
 

@@ -6,4 +6,6 @@ MODULES = (
     "ledgers",
     "signals",
     "texts",
+    "releases",
+    "comparisons",
 )

@@ -184,15 +184,16 @@ GRAM_SQL = lambda name, ident, src: rf"""{name}w AS (SELECT {ident}, unnest(stri
 
 def word_triples(df, ident):
     w = F.split(F.translate(F.lower("text"), "\n", " "), " ")
-    at = F.sequence(F.lit(1), F.size("_w") - 2)
-    grams = F.when(F.size("_w") >= 3, F.transform(at, lambda i: F.array_join(F.slice("_w", i, 3), " "))).otherwise(F.array().cast("array<string>"))
-    return df.select(ident, w.alias("_w")).select(ident, grams.alias("shingles"))
+    # Shifted copies side by side: the text is split a fixed number of times per row.
+    shift = lambda k: F.slice("_w", k, F.greatest(F.size("_w") - 2, F.lit(0))).alias(f"g{k}")
+    zipped = F.arrays_zip(shift(1), shift(2), shift(3))
+    return df.select(ident, w.alias("_w")).select(ident, F.transform(zipped, lambda z: F.concat_ws(" ", z["g1"], z["g2"], z["g3"])).alias("shingles"))
 
 
 @cat.query(
     "c4_template_match",
-    f"""WITH {GRAM_SQL('a', 'doc_id', 'documents')}, {GRAM_SQL('b', 'item_id', 'benchmark')},
-c AS (SELECT doc_id, item_id, 2 * count(*) / (any_value(an.n) + any_value(bn.n)) AS s FROM a JOIN b USING (g) JOIN an USING (doc_id) JOIN bn USING (item_id) GROUP BY ALL),
+    f"""WITH {GRAM_SQL('ga', 'doc_id', 'documents')}, {GRAM_SQL('gb', 'item_id', 'benchmark')},
+c AS (SELECT doc_id, item_id, 2 * count(*) / (any_value(gan.n) + any_value(gbn.n)) AS s FROM ga JOIN gb USING (g) JOIN gan USING (doc_id) JOIN gbn USING (item_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id) AS rn FROM c), k AS (SELECT doc_id, max(CASE WHEN rn = 1 THEN item_id END) AS best, max(CASE WHEN rn = 1 THEN s END) AS s1, coalesce(max(CASE WHEN rn = 2 THEN s END), 0) AS s2 FROM r GROUP BY 1)
 SELECT doc_id, round(s1, 6) AS best_score, round(s1 - s2, 6) AS margin, CASE WHEN s1 >= 0.05 AND s1 - s2 >= 0.02 THEN best::VARCHAR ELSE 'unknown' END AS label FROM documents LEFT JOIN k USING (doc_id)""",
 )
