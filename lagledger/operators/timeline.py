@@ -56,7 +56,7 @@ def assemble_timeline(
 
 
 def frame_map_violations(
-    frames: DataFrame, keys: Sequence[str], index: str, pts: str, fps: float, slicing: Slicing, *, hold: int
+    frames: DataFrame, keys: Sequence[str], index: str, pts: str, fps: float, slicing: Slicing, *, hold: int, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Rows of an output frame map that break a rule, with the rules.
 
@@ -65,7 +65,7 @@ def frame_map_violations(
     and in a gap it stays.
     """
     source = F.struct(index, "phase", "event_id", "source_index")
-    seen = scan(frames, keys, index, slicing, before={"_p": source})
+    seen = scan(frames, keys, index, slicing, ties=ties, before={"_p": source})
     same = F.col("_p.phase").eqNullSafe(F.col("phase")) & F.col("_p.event_id").eqNullSafe(F.col("event_id"))
     step = F.col("source_index") - F.col("_p.source_index")
     first = F.col("_p").isNull()

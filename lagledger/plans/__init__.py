@@ -8,4 +8,5 @@ MODULES = (
     "texts",
     "releases",
     "comparisons",
+    "exchange",
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +35,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` is used when the session has it. Only where it is
-    unset (tests, one machine) a fresh temporary folder is made.
+    Only where it is unset (tests, one machine) a fresh temporary folder is
+    made, once per session.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in :func:`shared_folder`; survives the loss of executors."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not spark.conf.get("spark.master", "local").startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
