@@ -205,7 +205,7 @@ def frame_map(spark, folder):
     "j17_phase_lookup",
     """WITH o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 1000)::BIGINT + 1 AS n FROM orders), c AS (SELECT *, sum(n + 10) OVER w - 10 AS f FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 s AS (SELECT o_custkey, o_orderkey, o_orderkey % 997 AS at FROM orders)
-SELECT s.o_orderkey, c.o_orderkey AS clip, s.at - (c.f - c.n) AS source_offset FROM s LEFT JOIN c ON c.o_custkey = s.o_custkey AND s.at >= c.f - c.n AND s.at < c.f""".replace(" AS at FROM", ' AS "at" FROM').replace("s.at", 's."at"'),
+SELECT s.o_orderkey, c.o_orderkey AS clip, (s.at - (c.f - c.n))::BIGINT AS source_offset FROM s LEFT JOIN c ON c.o_custkey = s.o_custkey AND s.at >= c.f - c.n AND s.at < c.f""".replace(" AS at FROM", ' AS "at" FROM').replace("s.at", 's."at"'),
 )
 def phases(spark, folder):
     o = table(spark, folder, "orders")

@@ -50,7 +50,12 @@ def separated(spark, folder):
     return rl.min_separation(e, K, "t", "value", "event_id", 12 * HOUR_US, DAILY).select("user_id", "event_id")
 
 
-@cat.query("w15_cluster_events")
+@cat.query(
+    "w15_cluster_events",
+    f"""WITH e AS ({E_SQL}), {FOLD},
+r AS (SELECT user_id, p, list_reduce(list_prepend([p[1]][1:0], list_transform(p, lambda z: [z])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y.t - x[1].t) <= {12 * HOUR_US})) = 0 THEN list_concat(a, x) ELSE a END) AS leaders FROM p)
+SELECT user_id, q.t AS t, list_filter(leaders, lambda y: abs(y.t - q.t) <= {12 * HOUR_US})[1].t AS leader_t, list_filter(leaders, lambda y: abs(y.t - q.t) <= {12 * HOUR_US})[1].score AS leader_score FROM (SELECT user_id, leaders, unnest(p) AS q FROM r)""",
+)
 def clustered(spark, folder):
     e = stream(spark, folder).select("user_id", "event_id", "t", "value")
     return rl.cluster_events(e, K, "t", "value", 12 * HOUR_US, DAILY)

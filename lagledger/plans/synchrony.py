@@ -144,3 +144,28 @@ def cliffs(spark, folder):
     return d.select(
         r6("probability_candidate_greater").alias("probability_candidate_greater"), r6("cliffs_delta").alias("cliffs_delta")
     )
+
+
+@cat.query(
+    "p8_direction",
+    f"""WITH {LEDGER_SQL} SELECT CASE WHEN lag_ms IS NULL THEN 'unavailable' WHEN lag_ms < -{MARGIN_MS} THEN 'video_leads' WHEN lag_ms > {MARGIN_MS} THEN 'video_lags' ELSE 'near' END AS direction,
+ count(*) AS events FROM ledger GROUP BY 1""",
+)
+def directions(spark, folder):
+    ledger = lag_ledger(spark, folder)
+    return ledger.groupBy(direction("lag_ms", MARGIN_MS).alias("direction")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@cat.query(
+    "j12_pairwise",
+    f"""WITH {LEDGER_SQL} SELECT a.epoch_id, count(*) AS pairs, round(avg(CASE WHEN a.median_lag_ms > b.median_lag_ms THEN 1.0 WHEN a.median_lag_ms = b.median_lag_ms THEN 0.5 ELSE 0.0 END), 6) AS probability
+FROM mid a JOIN mid b ON a.epoch_id = b.epoch_id AND a.grp = 'candidate' AND b.grp = 'control' GROUP BY 1""",
+)
+def pairwise(spark, folder):
+    """Wins and ties of all candidate-control pairs per week, counted without forming a pair."""
+    e = cut_lineage(epochs_of(spark, folder))
+    sizes = e.groupBy("epoch_id").agg(
+        (F.count_if(F.col("grp") == "candidate") * F.count_if(F.col("grp") == "control")).alias("pairs")
+    )
+    d = stats.cliffs_delta(e, ["epoch_id"], "grp", "median_lag_ms")
+    return sizes.join(d, "epoch_id").select("epoch_id", "pairs", r6("probability_candidate_greater").alias("probability"))
