@@ -190,7 +190,8 @@ def _enumerate_labelings(keys: list[str]):
         n, k, observed = len(v), int(pdf["_k"].iloc[0]), float(pdf["_observed"].iloc[0])
         hits = total = 0
         picks = itertools.combinations(range(n), k)
-        while block := list(itertools.islice(picks, 20_000)):
+        size = max(1, 4_000_000 // n)
+        while block := list(itertools.islice(picks, size)):
             chosen = np.zeros((len(block), n), dtype=bool)
             chosen[np.arange(len(block))[:, None], np.asarray(block)] = True
             inside = np.broadcast_to(v, chosen.shape)[chosen].reshape(len(block), k)

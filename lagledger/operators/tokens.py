@@ -12,6 +12,7 @@ from lagledger.operators.nearest import point_in_interval
 from lagledger.operators.quantiles import quantiles
 from lagledger.operators.rules import passes, reasons
 from lagledger.operators.scan import Slicing, global_index, runs, scan
+from lagledger.session import broadcast_if_small
 
 
 def explode_words(transcripts: DataFrame, source: str, segments: str = "segments") -> DataFrame:
@@ -73,6 +74,9 @@ def target_tokens(
     Tokens outside all intervals or below a threshold are returned too.
     """
     spoken = F.nullif(F.trim("reading"), F.lit(""))
+    # NFKC leaves ASCII alone, so plain words without a target letter need no Python.
+    raw = F.coalesce(spoken, F.col("word"))
+    words = words.filter(raw.rlike("[^\\x00-\\x7F]") | raw.rlike(f"[{p_letters}{b_letters}]"))
     read = words.withColumn("reading_text", tx.nfkc(F.coalesce(spoken, F.col("word")))).withColumn(
         "reading_source", F.when(spoken.isNotNull(), "reading").otherwise("surface_word")
     )
@@ -180,7 +184,8 @@ def template_match(
     a = items.select(item, F.array_distinct(shingles).alias("_s")).withColumn("_na", F.size("_s"))
     b = templates.select(label, F.array_distinct(shingles).alias("_s")).withColumn("_nb", F.size("_s"))
     left = a.select(item, "_na", F.explode("_s").alias("_g"))
-    right = b.select(label, "_nb", F.explode("_s").alias("_g"))
+    # Templates are few; they are broadcast only if that proves true.
+    right = broadcast_if_small(b.select(label, "_nb", F.explode("_s").alias("_g")))
     common = left.join(right, "_g").groupBy(item, label, "_na", "_nb").agg(F.count(F.lit(1)).alias("_c"))
     scores = common.select(item, label, (2.0 * F.col("_c") / (F.col("_na") + F.col("_nb"))).alias("score"))
     best = best_and_margin(scores, item, label, "score", minimum=minimum, margin=margin)

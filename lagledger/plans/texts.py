@@ -14,6 +14,7 @@ from lagledger.operators import tokens as tk
 from lagledger.operators.scan import scan
 from lagledger.plans.catalogue import Catalogue
 from lagledger.plans.standins import E_SQL, Slicing, stream, table
+from lagledger.session import spread
 
 cat = Catalogue()
 TURNS = Slicing(width=1_000)
@@ -66,7 +67,7 @@ WORDS_SQL = r"""w AS (SELECT doc_id, lang, source, unnest(string_split(replace(t
 
 
 def doc_words(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select(
         "doc_id", "lang", "source", F.posexplode(F.split(F.translate("text", "\n", " "), " ")).alias("pos", "word")
     ).select("doc_id", "lang", "source", F.col("pos").cast("long").alias("pos"), "word")
@@ -110,7 +111,7 @@ def letter_class(spark, folder):
 
 @cat.query("f3_nfkc")
 def normalized(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select("doc_id", tx.nfkc("text").alias("n")).select("doc_id", F.length("n").alias("n_chars"), F.sha2("n", 256).alias("sha"))
 
 
@@ -198,7 +199,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id)
 SELECT doc_id, round(s1, 6) AS best_score, round(s1 - s2, 6) AS margin, CASE WHEN s1 >= 0.05 AND s1 - s2 >= 0.02 THEN best::VARCHAR ELSE 'unknown' END AS label FROM documents LEFT JOIN k USING (doc_id)""",
 )
 def templates(spark, folder):
-    items = word_triples(table(spark, folder, "documents"), "doc_id")
+    items = word_triples(spread(table(spark, folder, "documents")), "doc_id")
     known = word_triples(table(spark, folder, "benchmark"), "item_id")
     m = tk.template_match(items, known, "doc_id", "item_id", "shingles", minimum=0.05, margin=0.02)
     return m.select("doc_id", r6("best_score").alias("best_score"), r6("margin").alias("margin"), "label")
@@ -313,12 +314,12 @@ LEAK_SQL = lambda ident, text, src: " UNION ALL ".join(
 
 @cat.query("c1_leak_scan_documents", LEAK_SQL("doc_id", "text", "documents"))
 def leaks(spark, folder):
-    return audit.leak_scan(table(spark, folder, "documents"), "doc_id", "text")
+    return audit.leak_scan(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
 @cat.query("c1_leak_scan_pages", LEAK_SQL("page_id", "html", "pages"))
 def page_leaks(spark, folder):
-    return audit.leak_scan(table(spark, folder, "pages"), "page_id", "html")
+    return audit.leak_scan(spread(table(spark, folder, "pages")), "page_id", "html")
 
 
 def page_files(spark, folder):

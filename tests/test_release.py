@@ -142,14 +142,15 @@ def test_visual_rejections(spark):
     assert "insufficient_nonrepeated_closed_frames" in frozen["exclusion_reasons"]
 
 
-def test_greedy_separation_and_clusters_match_a_plain_loop(spark):
+@pytest.mark.parametrize("limit", [100_000, 3], ids=["fold", "rounds"])
+def test_greedy_separation_and_clusters_match_a_plain_loop(spark, limit):
     rng = np.random.default_rng(1)
     peaks = [(k, int(t), float(s)) for k in (1, 2) for t, s in zip(rng.choice(400, 60, replace=False), rng.integers(0, 9, 60))]
     df = spark.createDataFrame(peaks, "k int, t long, score double").withColumn("id", F.col("t"))
     from lagledger.operators.scan import Slicing
 
-    kept = rl.min_separation(df, ["k"], "t", "score", "id", 14, Slicing(width=50))
-    groups = rl.cluster_events(df, ["k"], "t", "score", 40, Slicing(width=50))
+    kept = rl.min_separation(df, ["k"], "t", "score", "id", 14, Slicing(width=50), limit)
+    groups = rl.cluster_events(df, ["k"], "t", "score", 40, Slicing(width=50), limit)
     want, led = set(), {}
     for k in (1, 2):
         mine, leaders = [], []
