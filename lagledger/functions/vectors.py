@@ -28,10 +28,6 @@ def rms(values: Column) -> Column:
     return F.sqrt(dot(values, values) / F.size(values))
 
 
-def centered(values: Column) -> Column:
-    return F.transform(values, lambda x: x - mean(values))
-
-
 def cosine_distance(a, b) -> Column:
     """1 - clipped cosine; NULL for empty vectors, unequal lengths or a zero norm."""
     a, b = doubles(a), doubles(b)

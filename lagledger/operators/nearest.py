@@ -138,6 +138,7 @@ def window_join(
     Range join as an equi-join on time buckets: an event visits every bucket
     its window touches, a sample sits in one, so each pair is met once. The
     output is the pairs themselves; AQE splits a bucket with too many samples.
+    ``how="left"`` adds one row with NULL sample columns for every event.
     """
     width = F.lit(max(before + after, 1e-9))
     bucket = lambda value: F.floor(value / width).cast("long")
@@ -150,10 +151,10 @@ def window_join(
     pairs = left.join(right, [*keys, "_bucket"]).filter(inside).drop("_bucket")
     if how == "inner":
         return pairs
-    # Events without samples stay: their window aggregates become zero or NULL.
+    # One row without a sample per event: window aggregates ignore it, and an
+    # event without samples keeps zero or NULL ones. No second pass over pairs.
     names = [c for c in pairs.columns if c not in events.columns]
-    lonely = events.join(pairs.select(*events.columns), events.columns, "left_anti")
-    return pairs.unionByName(lonely, allowMissingColumns=True).select(*events.columns, *names)
+    return pairs.unionByName(events, allowMissingColumns=True).select(*events.columns, *names)
 
 
 def grid_nearest(

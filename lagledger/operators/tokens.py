@@ -12,7 +12,7 @@ from lagledger.operators.nearest import point_in_interval
 from lagledger.operators.quantiles import quantiles
 from lagledger.operators.rules import passes, reasons
 from lagledger.operators.scan import Slicing, global_index, runs, scan
-from lagledger.session import broadcast_if_small
+from lagledger.session import broadcast_if_small, cut_lineage
 
 
 def explode_words(transcripts: DataFrame, source: str, segments: str = "segments") -> DataFrame:
@@ -44,9 +44,8 @@ def occurrences(
     anchors = F.transform("_at", lambda p: tx.proportional_anchor(reading, p, start, end))
     return (
         words.withColumn("_at", at)
-        .filter(F.size("_at") > 0)
         .withColumn("occurrence_anchors", anchors)
-        .select("*", F.posexplode("_at").alias("occurrence_index", "character_index"))
+        .select("*", F.posexplode(F.array_compact("_at")).alias("occurrence_index", "character_index"))
         .withColumn("letter", F.substring(F.col(reading), F.col("character_index") + 1, F.lit(1)))
         .withColumn("anchor_s", F.get("occurrence_anchors", F.col("occurrence_index")))
         .drop("_at")
@@ -84,6 +83,8 @@ def target_tokens(
     found = occurrences(timed, "reading_text", "start", "end", p_letters + b_letters).withColumn(
         "phoneme_class", tx.target_class("letter", p_letters, b_letters)
     )
+    # The match reads its input three times (count, rows, borders): keep the tokens.
+    found = cut_lineage(found)
     placed = point_in_interval(
         found, intervals, keys, "anchor_s", "start_s", "end_s", Slicing(width=interval_width), tie="interval_id", guard=guard
     )
@@ -99,7 +100,7 @@ def target_tokens(
 
 def number_tokens(tokens: DataFrame, order: str, slicing: Slicing, ties: Sequence[str], prefix: str = "pb-") -> DataFrame:
     """Serial ids in order, counted slice by slice."""
-    placed = global_index(tokens, order, slicing, ties=ties, name="_at")
+    placed = global_index(cut_lineage(tokens), order, slicing, ties=ties, name="_at")
     text = (F.col("_at") + 1).cast("string")
     return placed.withColumn(
         "token_id", F.concat(F.lit(prefix), F.when(F.length(text) >= 4, text).otherwise(F.lpad(text, 4, "0")))
@@ -183,12 +184,15 @@ def template_match(
 
     a = items.select(item, F.array_distinct(shingles).alias("_s")).withColumn("_na", F.size("_s"))
     b = templates.select(label, F.array_distinct(shingles).alias("_s")).withColumn("_nb", F.size("_s"))
-    left = a.select(item, "_na", F.explode("_s").alias("_g"))
+    # Exploding a computed array keeps the optimizer from adding a size filter
+    # that would work the shingles out twice per text.
+    left = a.select(item, "_na", F.explode(F.array_compact("_s")).alias("_g"))
     # Templates are few; they are broadcast only if that proves true.
     right = broadcast_if_small(b.select(label, "_nb", F.explode("_s").alias("_g")))
     common = left.join(right, "_g").groupBy(item, label, "_na", "_nb").agg(F.count(F.lit(1)).alias("_c"))
     scores = common.select(item, label, (2.0 * F.col("_c") / (F.col("_na") + F.col("_nb"))).alias("score"))
-    best = best_and_margin(scores, item, label, "score", minimum=minimum, margin=margin)
+    # Best and runner-up are two aggregates over the scores: compute those once.
+    best = best_and_margin(cut_lineage(scores), item, label, "score", minimum=minimum, margin=margin)
     return items.select(item).join(best, item, "left").fillna({"label": "unknown"})
 
 

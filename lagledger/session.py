@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when no frame refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -38,11 +40,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, one machine) a fresh temporary folder is
-    made, once per session.
+    Only where neither the session nor its context names one (tests, one
+    machine) a fresh temporary folder is made, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            return named.get()
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
