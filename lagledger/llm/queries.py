@@ -7,11 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from lagledger.llm.common import table
 from lagledger.llm.exact_dedup import exact_groups
 from lagledger.llm.interleave import interleaved_shards
+from lagledger.llm.language_id import identify
 from lagledger.llm.mixing import mix
+from lagledger.llm.packing import pack
 from lagledger.plans.catalogue import Catalogue
 
 cat = Catalogue()
 
+
+def word_tokenizer() -> str:
+    """Where the tokenizer file lies; asked for when a query runs."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@cat.query("op1_hierarchical_packing")
+def hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir), word_tokenizer())
+
+
 # CRC-32 of a UTF-8 text by table lookup, one byte after the other.
 _CRC = """
 crc_step(i, v, k) AS (SELECT i, i::UBIGINT, 0 FROM range(256) r(i)
@@ -73,3 +88,8 @@ SELECT t.doc_id, keep_id, group_size, t.doc_id = keep_id AS kept, sha256(t.x) AS
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir))
+
+
+@cat.query("op7_language_bitmask")
+def language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir))
