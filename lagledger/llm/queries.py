@@ -10,6 +10,7 @@ from lagledger.llm.interleave import interleaved_shards
 from lagledger.llm.language_id import identify
 from lagledger.llm.mixing import mix
 from lagledger.llm.packing import pack
+from lagledger.llm.substring_dedup import remove_repeats
 from lagledger.plans.catalogue import Catalogue
 
 cat = Catalogue()
@@ -93,3 +94,19 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cat.query("op7_language_bitmask")
 def language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir))
+
+
+@cat.query(
+    "op10_substring_dedup",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20),
+v AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s + 1 : s + 20], ' ') ORDER BY doc_id, s) AS r FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM v WHERE r > 1),
+words AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS x FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir)).drop("removed")
