@@ -34,7 +34,7 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
-def cells_for(rows: int, per_cell: int = 50_000, most: int = 1 << 16) -> int:
+def cells_for(rows: int, per_cell: int = 2_000, most: int = 1 << 16) -> int:
     """Into how many hash cells an order is cut so that one window never sees more than a small share of the rows."""
     return max(1, min(most, -(-rows // per_cell)))
 
