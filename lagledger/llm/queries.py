@@ -11,6 +11,7 @@ from lagledger.llm.language_id import identify
 from lagledger.llm.mixing import mix
 from lagledger.llm.ngram_join import near_copies
 from lagledger.llm.packing import pack
+from lagledger.llm.secret_spans import ALLOWED, BASE, CANDIDATE, CLASSES, SCALE, WINDOW, most_weight, secret_spans
 from lagledger.llm.substring_dedup import remove_repeats
 from lagledger.plans.catalogue import Catalogue
 
@@ -129,3 +130,41 @@ FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
 )
 def multi_order_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """Positions from the pieces between matches; entropies of every window from scratch."""
+    kinds = [(k, o, *spec) for o, (k, spec) in enumerate(BASE.items())] + [("entropy", len(BASE), CANDIDATE, 0, 0)]
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {o} AS o, '{k}' AS kind, {least} AS least, unnest(regexp_extract_all(x, {_quoted(p)}, 0)) AS m,
+        unnest(regexp_extract_all(x, {_quoted(p)}, {group})) AS v, unnest(string_split_regex(x, {_quoted(p)})[1 : len(regexp_extract_all(x, {_quoted(p)}, 0))]) AS g,
+        generate_subscripts(regexp_extract_all(x, {_quoted(p)}, 0), 1) AS k FROM t"""
+        for k, o, p, group, least in kinds
+    )
+    bound = " ".join(f"WHEN regexp_matches(m, {_quoted(p)}) THEN {most_weight(WINDOW, bits)}" for p, bits in CLASSES)
+    allowed = " OR ".join(f"regexp_matches(m, {_quoted(p)})" for p in ALLOWED)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+found AS ({found}),
+placed AS (SELECT *, (sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM found
+    WINDOW w AS (PARTITION BY doc_id, o ORDER BY k)),
+candidates AS (SELECT doc_id, s, m, CASE {bound} END AS most FROM placed WHERE kind = 'entropy' AND NOT ({allowed})),
+windows AS (SELECT doc_id, s, most, unnest(range(0, length(m) - {WINDOW - 1})) AS i, m FROM candidates),
+weighed AS (SELECT doc_id, s, i, most, substring(m, (i + 1)::BIGINT, {WINDOW}) AS c, list_sum(list_transform(list_distinct(string_split(c, '')), lambda ch:
+    round((length(c) - length(replace(c, ch, ''))) * log2(length(c) - length(replace(c, ch, ''))) * {SCALE})::BIGINT)) AS z FROM windows),
+spans AS (SELECT doc_id, o, kind, s, s + length(m) AS e FROM placed WHERE kind <> 'entropy' AND length(v) >= least
+    UNION ALL SELECT doc_id, {len(BASE)}, 'entropy', s + min(i), s + max(i) + {WINDOW} FROM weighed WHERE z <= most GROUP BY doc_id, s),
+joined AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) FILTER (o < {len(BASE)}) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) AS spans
+    FROM spans GROUP BY doc_id)
+SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN joined USING (doc_id)"""
+
+
+@cat.query("op9_entropy_secrets", _secrets_sql())
+def entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir))
