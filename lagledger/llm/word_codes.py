@@ -20,7 +20,7 @@ def split(text: str, lower: bool = False) -> list[bytes]:
 def word_codes(words: list[list[bytes]]) -> np.ndarray:
     """One 64-bit code per word, all texts one after the other."""
     wanted = set().union(*words)
-    new = wanted - _codes.keys()
+    new = [w for w in wanted if w not in _codes]
     if len(_codes) + len(new) > MOST_WORDS:
         _codes.clear()
         new = wanted

@@ -43,7 +43,7 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids per text."""
         words = [_SPLIT.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
         wanted = set().union(*words)
-        new = wanted - self.words.keys()
+        new = {w for w in wanted if w not in self.words}
         if len(self.words) + len(new) > MOST_WORDS:
             self.words.clear()
             new = wanted
@@ -58,7 +58,7 @@ class WordTokens:
                 cut[w] = self.pattern.findall(w.lower())
             else:
                 whole.append(w)
-        new = {p for ps in cut.values() for p in ps} - self.pieces.keys()
+        new = {p for ps in cut.values() for p in ps if p not in self.pieces}
         if len(self.pieces) + len(new) > MOST_WORDS:
             self.pieces.clear()
             new = {p for ps in cut.values() for p in ps}
