@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagledger.llm.ball_tree import top_products
 from lagledger.llm.common import table
+from lagledger.llm.cotraining import score_quality
 from lagledger.llm.exact_dedup import exact_groups
 from lagledger.llm.interleave import interleaved_shards
 from lagledger.llm.language_id import identify
@@ -42,6 +43,10 @@ crcs AS (SELECT doc_id, source, (length(h) // 2 + 8)::BIGINT AS size, xor(list_r
     lambda a, b: xor(a >> 8, t[((xor(a, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
   FROM texts, crc_table)"""
 
+@cat.query("op2_co_training")
+def co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
 
 @cat.query(
     "op3_interleaved_shards",
