@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagledger.session import cut_lineage
+from lagledger.session import broadcast_if_small, cut_lineage
 
 SALTS = 16
+MOST_SENT = 4_000_000  # ids that may go to every executor; more are shuffled
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -54,9 +55,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns; of rows that repeat an id and a text, one.
 
-    The ids of dropped rows go against the rows: on a corpus with few copies that side is small.
+    Only ids go against the rows. They are sent to the texts where they are few, and meet them in a shuffle otherwise.
     """
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    groups = cut_lineage(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "kept", "text_sha256"))
+    gone = groups.filter("NOT kept").select("__id").distinct()
+    rows = docs.join(broadcast_if_small(gone, MOST_SENT), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    twice = groups.filter("kept").groupBy("__id", "text_sha256").count().filter("count > 1").select("__id").distinct()
+    twice = cut_lineage(twice)
+    if twice.isEmpty():
+        return rows
+    same = docs[id_col].eqNullSafe(F.col("__id"))
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

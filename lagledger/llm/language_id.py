@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagledger.llm.common import draw, text_of
+from lagledger.llm.common import draw, staged, text_of
 from lagledger.session import broadcast_if_small
 
 ORDERS = (3, 4)
@@ -200,7 +200,26 @@ def predict_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "d
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _labelled(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    return docs.filter(~held_out(F.col(id_col))) if lang_col in docs.columns else docs.limit(0).withColumn(lang_col, F.lit(None).cast("string"))
+
+
+def identify_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns.
+
+    A prediction is ``und`` where a text has no letter, so the rejected ids are few; they go against the rows and the
+    texts stay where they are. Rows that repeat an id share one fate: kept if one of them is. With no label to learn
+    from, no row is rejected.
+    """
+    filters = fit(_labelled(docs, id_col, lang_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not filters.languages:
+        return docs
+    told = predict_language(docs, filters, id_col, text_col)
+    fate = told.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("lang_pred") != UNKNOWN).alias("__known")).filter("NOT __known").select("__id")
+    return docs.join(broadcast_if_small(staged(fate, "rejected"), 4_000_000), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fits on the labelled rows that are not held out and predicts all: ``id_col``, held_out, lang_pred, score."""
-    filters = fit(docs.filter(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    filters = fit(_labelled(docs, id_col, lang_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
     return predict_language(docs, filters, id_col, text_col).select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")

@@ -206,4 +206,4 @@ def near_copies(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, with all their columns."""
     gone = near_copies(docs, id_col=id_col, text_col=text_col, **options).filter(f"{id_col} != component_id").select(F.col(id_col).alias("__gone"))
-    return docs.join(broadcast_if_small(gone.distinct(), MOST_SENT), docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(broadcast_if_small(staged(gone.distinct(), "gone"), MOST_SENT), docs[id_col] == F.col("__gone"), "left_anti")

@@ -187,3 +187,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 )
 def ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
+
+
+@cat.query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # it imports this module
+
+    return run(spark, sf_dir)
