@@ -57,12 +57,14 @@ def temperature(sources: DataFrame, entropy_share: float | None = ENTROPY_SHARE,
     """The exponent in [0, 1] for token shares ``__p``.
 
     The largest one whose weights have at least ``entropy_share`` of the largest possible entropy, ln(sources); not
-    below the smallest at which no source is passed more than ``most_passes`` times. None leaves a condition out.
+    below the smallest at which no source is passed more than ``most_passes`` times. None leaves a condition out; without either the exponent is 1.
     """
     n = sources.count()
     if n < 2:
         return 1.0
-    k = GRID if entropy_share is None else _bisect(sources, True, lambda h, _: h >= entropy_share * math.log(n) - 1e-12)
+    if entropy_share is None and most_passes is None:
+        return 1.0
+    k = 0 if entropy_share is None else _bisect(sources, True, lambda h, _: h >= entropy_share * math.log(n) - 1e-12)
     if most_passes is not None:
         k = max(k, _bisect(sources, False, lambda _, r: r <= most_passes + 1e-12))
     return k / GRID
