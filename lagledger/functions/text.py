@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from lagledger.functions.numeric import col
 
@@ -126,6 +126,23 @@ def dice(a, b) -> Column:
     return F.when(both > 0, 2.0 * F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
 
 
-def canonical_sha256(fields: Sequence[str]) -> Column:
-    """SHA-256 of compact JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
+def sorted_fields(column: Column, kind: DataType) -> Column:
+    """The column with struct fields in the order of their names and maps by key, at every depth."""
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: sorted_fields(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(column, lambda _, v: sorted_fields(v, kind.valueType)))))
+    if isinstance(kind, StructType):
+        made = F.struct(*[sorted_fields(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(column.isNotNull(), made)
+    return column
+
+
+def canonical_sha256(fields: Sequence[str], schema: StructType | None = None) -> Column:
+    """SHA-256 of compact JSON with sorted keys; NULL fields are written as ``null``.
+
+    With ``schema``, nested structs and maps are sorted as well.
+    """
+    kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    parts = [sorted_fields(F.col(n), kinds[n]).alias(n) if n in kinds else F.col(n) for n in sorted(fields)]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)

@@ -9,9 +9,10 @@ from lagledger.functions.numeric import finite
 from lagledger.operators.rules import passes, reasons
 
 # Accepted answers.
-STATUSES = ("measurable", "unmeasurable", "ambiguous", "non_target")
+STATUSES = ("measurable", "unmeasurable")
 CONFIDENCES = ("high", "medium", "low")
-REALIZATIONS = ("target", "non_target", "uncertain")
+REALIZATIONS = ("p", "b", "other", "uncertain")
+TARGETS = ("p", "b")
 
 
 def covered(t: Column, spans: Column) -> Column:
@@ -102,19 +103,29 @@ def normalize_annotation(rows: DataFrame) -> DataFrame:
     )
 
 
-def review_row_valid(rows: DataFrame, tolerance_ms: float = 20.0) -> DataFrame:
-    """A filled review sheet row: answers, reason, rank and time agree, chosen time usable.
+def review_row_valid(rows: DataFrame, tolerance_ms: float = 20.0, anchor_tolerance: float = 1e-6, relative_tolerance_ms: float = 0.001) -> DataFrame:
+    """A filled review sheet row: answers, key, review window, candidates and the chosen time, each rule a reason.
 
-    Needs status, confidence, realization, reason, selected_rank, relative_ms,
-    ``candidates`` (array of rank, time_s, relative_ms), anchor_s, window
-    bounds and covered_intervals. The rank wins over the relative time.
+    Needs status, confidence, realization, reason, selected_rank, relative_ms, ``candidates`` (array of rank, time_s,
+    relative_ms; rank and relative_ms may be NULL), anchor_s, source_anchor_s, target_class, window bounds and
+    covered_intervals. A rank is a place in the list and wins over the relative time. Answers are compared trimmed and
+    in lower case.
     """
-    pick = F.get(F.filter("candidates", lambda c: c["rank"] == F.col("selected_rank")), F.lit(0))
-    chosen = F.coalesce(pick["time_s"], F.col("anchor_s") + F.col("relative_ms") / 1000.0)
-    measurable = F.col("status") == "measurable"
-    known = lambda c, allowed: F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+    plain = lambda c: F.lower(F.trim(c))
+    known = lambda c, allowed: F.coalesce(plain(c).isin(*allowed), F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    a, b, anchor, rank, relative = (F.col(c) for c in ("window_start_s", "window_end_s", "anchor_s", "selected_rank", "relative_ms"))
+    spans, listed = F.col("covered_intervals"), F.col("candidates")
+    measurable = yes(plain("status") == "measurable")
+    in_range = yes((rank >= 1) & (rank <= F.size(listed)))
+    pick = F.when(in_range, F.get(listed, rank - 1))
+    chosen = F.when(rank.isNotNull(), pick["time_s"]).otherwise(anchor + relative / 1000.0)
     out = rows.withColumn("chosen_time_s", F.when(measurable, chosen))
-    inside = (F.col("chosen_time_s") >= F.col("window_start_s")) & (F.col("chosen_time_s") < F.col("window_end_s"))
+    time = F.col("chosen_time_s")
+    usable = yes(finite("window_start_s").isNotNull() & finite("window_end_s").isNotNull() & (a >= 0) & (a <= anchor) & (anchor < b))
+    inside = lambda t: yes(finite(t).isNotNull() & (t >= a) & (t < b))
+    places = F.transform(listed, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("place")))
+    shift = lambda c: (c["time_s"] - anchor) * 1000.0
     return out.withColumn(
         "review_reasons",
         reasons(
@@ -122,12 +133,20 @@ def review_row_valid(rows: DataFrame, tolerance_ms: float = 20.0) -> DataFrame:
             (~known("confidence", CONFIDENCES), "invalid_confidence"),
             (~known("realization", REALIZATIONS), "invalid_realization"),
             (F.coalesce(F.trim("reason"), F.lit("")) == "", "reason_missing"),
-            (measurable & ~(F.col("realization").eqNullSafe("target")), "measurable_requires_target"),
-            (F.col("selected_rank").isNotNull() & pick.isNull(), "rank_out_of_range"),
-            (F.abs(pick["relative_ms"] - F.col("relative_ms")) > tolerance_ms, "rank_and_time_disagree"),
-            (measurable & F.col("chosen_time_s").isNull(), "no_time_chosen"),
-            (measurable & ~inside, "time_outside_review_window"),
-            (measurable & inside & ~covered(F.col("chosen_time_s"), F.col("covered_intervals")), "time_not_covered"),
+            (~yes(finite("anchor_s").isNotNull() & (anchor >= 0) & (F.abs(anchor - F.col("source_anchor_s")) <= anchor_tolerance)), "anchor_differs_from_source"),
+            (~usable, "invalid_review_window"),
+            (~yes(spans_in_order(spans, a, b)), "invalid_covered_intervals"),
+            (F.exists(places, lambda p: yes(p["c"]["rank"] != p["place"])), "candidate_rank_not_its_place"),
+            (F.exists(listed, lambda c: ~inside(c["time_s"])), "candidate_outside_review_window"),
+            (F.exists(listed, lambda c: inside(c["time_s"]) & ~yes(covered(c["time_s"], spans))), "candidate_not_covered"),
+            (F.exists(listed, lambda c: c["relative_ms"].isNotNull() & ~yes(F.abs(c["relative_ms"] - shift(c)) <= relative_tolerance_ms)), "candidate_relative_time_differs"),
+            (measurable & ~yes((plain("realization") == F.lower(F.btrim("target_class", F.lit("/ ")))) & plain("realization").isin(*TARGETS)), "measurable_requires_target"),
+            (measurable & rank.isNull() & relative.isNull(), "no_time_chosen"),
+            (measurable & rank.isNotNull() & ~in_range, "rank_out_of_range"),
+            (measurable & yes(F.abs(pick["time_s"] - (anchor + relative / 1000.0)) > tolerance_ms / 1000.0), "rank_and_time_disagree"),
+            (measurable & time.isNotNull() & ~inside(time), "time_outside_review_window"),
+            (measurable & inside(time) & ~yes(covered(time, spans)), "time_not_covered"),
+            (yes(plain("status") == "unmeasurable") & (rank.isNotNull() | relative.isNotNull()), "unmeasurable_with_time"),
         ),
     )
 

@@ -93,16 +93,25 @@ def unblind(reviews: DataFrame, key: DataFrame, ledger: DataFrame, blind: str, e
 def tolerance_matches(
     left: DataFrame, right: DataFrame, event: str, rank: str, time: str, tolerance: float = 1e-6
 ) -> DataFrame:
-    """Left candidates with the source candidate of equal event and rank within tolerance, else a reason."""
-    other = right.select(event, rank, F.col(time).alias("_t"))
-    out = left.join(other, [event, rank], "left")
+    """Left candidates that some source candidate of the same event meets within tolerance; the others get a reason.
+
+    The rank is not compared: a left list may hold a part of the source's candidates. Both sides meet on time buckets of
+    the tolerance's width, a source candidate in its own and the two next to it.
+    """
+    width = max(tolerance, 1e-9) * 2
+    bucket = F.floor(F.col(time) / width)
+    near = right.select(event, F.col(time).alias("_t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    meets = left.select(event, rank, time, bucket.alias("_bucket")).join(near, [event, "_bucket"]).filter(F.abs(F.col(time) - F.col("_t")) <= tolerance)
+    meets = meets.select(event, rank, time).distinct().withColumn("_meets", F.lit(True))
+    known = right.select(event).distinct().withColumn("_known", F.lit(True))
+    out = left.join(meets, [event, rank, time], "left").join(known, event, "left")
     return out.withColumn(
         "match_reasons",
         reasons(
-            (F.col("_t").isNull(), "no_source_candidate"),
-            (F.abs(F.col(time) - F.col("_t")) > tolerance, "time_differs_from_source"),
+            (F.col("_known").isNull(), "no_source_candidate"),
+            (F.col("_known").isNotNull() & F.col("_meets").isNull(), "time_differs_from_source"),
         ),
-    ).withColumn("matched", passes("match_reasons")).drop("_t")
+    ).withColumn("matched", passes("match_reasons")).drop("_meets", "_known")
 
 
 def resolve_group(rows: DataFrame, config: DataFrame, speaker: str, own: str, interval: str) -> DataFrame:

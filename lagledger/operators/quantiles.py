@@ -127,11 +127,13 @@ def median_and_mad(
 ) -> DataFrame:
     """Median and unscaled median absolute deviation per key."""
     middle = quantiles(df, keys, value, {median: 0.5}, extra=extra, max_rows=max_rows, probe=probe)
-    away = df.join(middle.select(*keys, F.col(median).alias("_mid")), list(keys)).withColumn(
+    # As one struct, keys with NULLs meet too.
+    as_one = F.struct(F.lit(0).alias("_"), *keys)
+    away = df.withColumn("_keys", as_one).join(middle.select(as_one.alias("_keys"), F.col(median).alias("_mid")), "_keys").withColumn(
         "_away", F.abs(F.col(value) - F.col("_mid"))
     )
     spread = quantiles(away, keys, "_away", {mad: 0.5}, max_rows=max_rows, probe=probe)
-    return middle.join(spread, list(keys), "left")
+    return middle.withColumn("_keys", as_one).join(spread.select(as_one.alias("_keys"), mad), "_keys", "left").drop("_keys")
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str, max_rows: int | None = HOT_ROWS) -> DataFrame:

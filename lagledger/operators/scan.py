@@ -38,8 +38,9 @@ class Slicing:
 
 
 def _cell(order: Column | str, slicing: Slicing) -> Column:
+    """Rows without an order value share one cell that comes first, as NULLs do in an ascending order."""
     order = F.col(order) if isinstance(order, str) else order
-    return F.floor(order / F.lit(slicing.width)).cast("long")
+    return F.coalesce(F.floor(order / F.lit(slicing.width)).cast("long"), F.lit(-(1 << 63)))
 
 
 def measure(df: DataFrame, keys: Sequence[str], order: str, slicing: Slicing) -> Slicing:
@@ -273,17 +274,22 @@ def runs(
     ties: Sequence[str] = (),
     name: str = "run_id",
 ) -> DataFrame:
-    """Number maximal stretches of equal ``label`` (NULL equals NULL) per key, from 1."""
-    by = [*keys, CELL, PART]
+    """Number maximal stretches of equal ``label`` (NULL equals NULL) per key, from 1.
+
+    Every row stays: NULL keys are a key of their own, and rows without an order value come first. Keys are compared as
+    one struct, in which NULL equals NULL, so windows and join share one partitioning.
+    """
+    by = ["_keys", CELL, PART]
     at = _ordering(order, ties)
     seq = Window.partitionBy(*by).orderBy(order, *ties)
     rows = slice_rows(df.withColumn("_label", F.struct(label.alias("x"))), keys, order, slicing)
+    rows = rows.withColumn("_keys", F.struct(F.lit(0).alias("_"), *keys))
     rows = rows.withColumn("_starts", F.when(F.lag("_label").over(seq).eqNullSafe(F.col("_label")), 0).otherwise(1))
     rows = rows.withColumn(
         "_local", F.sum("_starts").over(seq.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     # A slice whose first label continues the slice before has one start too many.
-    across = Window.partitionBy(*keys).orderBy(CELL, PART)
+    across = Window.partitionBy("_keys").orderBy(CELL, PART)
     borders = (
         rows.groupBy(*by)
         .agg(F.min_by("_label", at).alias("_first"), F.max_by("_label", at).alias("_last"), F.sum("_starts").alias("_n"))
@@ -293,7 +299,7 @@ def runs(
     return (
         rows.join(borders, by)
         .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop(CELL, PART, "_label", "_starts", "_local", "_offset")
+        .drop("_keys", CELL, PART, "_label", "_starts", "_local", "_offset")
     )
 
 

@@ -315,14 +315,14 @@ def materialized(spark, folder):
 @cat.query(
     "j10_tolerance_match",
     f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rk FROM ({CLICK_SQL})), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rk FROM ({VIEW_SQL}))
-SELECT a.event_id, concat_ws(',', CASE WHEN b.t IS NULL THEN 'no_source_candidate' END, CASE WHEN abs(a.t - b.t) > {DAY_US} THEN 'time_differs_from_source' END) AS reasons
-FROM a LEFT JOIN b USING (user_id, rk)""",
+SELECT a.event_id, CASE WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id) THEN 'no_source_candidate'
+ WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND abs(b.t - a.t) <= {HOUR_US}) THEN 'time_differs_from_source' ELSE '' END AS reasons FROM a""",
 )
 def tolerance(spark, folder):
     ranked = lambda kind: scan(
         stream(spark, folder, kind).select("user_id", "event_id", "t"), ["user_id"], "t", DAILY, ties=["event_id"], index="rk"
     )
-    out = lg.tolerance_matches(ranked("click"), ranked("view"), "user_id", "rk", "t", DAY_US)
+    out = lg.tolerance_matches(ranked("click"), ranked("view"), "user_id", "rk", "t", HOUR_US)
     return out.select("event_id", F.concat_ws(",", "match_reasons").alias("reasons"))
 
 

@@ -252,16 +252,34 @@ def consistency(spark, folder):
     return an.status_consistency(rows).select("event_id", F.concat_ws(",", "status_reasons").alias("reasons"))
 
 
-@cat.query("p19_review_row_valid")
+REVIEW_SQL = f"""WITH c AS ({CLICK_SQL}), r AS (SELECT *, t / 1e6 AS an, CASE event_id % 4 WHEN 0 THEN ' Measurable' WHEN 1 THEN 'measurable' WHEN 2 THEN 'unmeasurable' ELSE 'ambiguous' END AS status,
+ CASE event_id % 5 WHEN 0 THEN 'P ' WHEN 1 THEN 'b' WHEN 2 THEN 'target' ELSE 'p' END AS realization, CASE WHEN event_id % 6 < 4 THEN event_id % 6 END AS pick, CASE WHEN event_id % 7 < 3 THEN event_id % 7 * 15.0 END AS rel FROM c),
+q AS (SELECT *, lower(trim(status)) = 'measurable' AS m, an + [0, 0.015, 0.6][pick] AS cand FROM r), k AS (SELECT *, CASE WHEN m THEN CASE WHEN pick IS NULL THEN an + rel / 1000 ELSE cand END END AS z FROM q)
+SELECT event_id, concat_ws(',', CASE WHEN status = 'ambiguous' THEN 'invalid_status' END, CASE WHEN event_id % 11 = 0 THEN 'invalid_confidence' END, CASE WHEN realization = 'target' THEN 'invalid_realization' END,
+ CASE WHEN event_id % 8 = 0 THEN 'reason_missing' END, CASE WHEN event_id % 9 = 0 THEN 'anchor_differs_from_source' END, CASE WHEN event_id % 10 = 0 THEN 'invalid_review_window' END,
+ CASE WHEN event_id % 13 = 0 THEN 'candidate_rank_not_its_place' END, CASE WHEN event_id % 10 = 0 THEN 'candidate_outside_review_window' END, CASE WHEN event_id % 10 <> 0 THEN 'candidate_not_covered' END,
+ CASE WHEN event_id % 14 = 0 THEN 'candidate_relative_time_differs' END, CASE WHEN m AND lower(trim(realization)) <> 'p' THEN 'measurable_requires_target' END, CASE WHEN m AND pick IS NULL AND rel IS NULL THEN 'no_time_chosen' END,
+ CASE WHEN m AND pick = 0 THEN 'rank_out_of_range' END, CASE WHEN m AND pick > 0 AND abs(cand - (an + rel / 1000)) > 0.020 THEN 'rank_and_time_disagree' END, CASE WHEN m AND event_id % 10 = 0 AND z IS NOT NULL THEN 'time_outside_review_window' END,
+ CASE WHEN m AND event_id % 10 <> 0 AND z > an + 0.55 THEN 'time_not_covered' END, CASE WHEN status = 'unmeasurable' AND (pick IS NOT NULL OR rel IS NOT NULL) THEN 'unmeasurable_with_time' END) AS reasons FROM k"""
+
+
+@cat.query("p19_review_row_valid", REVIEW_SQL)
 def reviewed(spark, folder):
-    e = F.col("event_id")
-    cand = lambda r, ms: F.struct(F.lit(r).alias("rank"), (F.col("anchor_s") + ms / 1000.0).alias("time_s"), F.lit(float(ms)).alias("relative_ms"))
+    e, a = F.col("event_id"), F.col("anchor_s")
+    cand = lambda r, ms, off: F.struct(r.alias("rank"), (a + ms / 1000.0).alias("time_s"), (F.lit(float(ms)) + off).alias("relative_ms"))
+    none = F.lit(0.0)
     rows = annotated(spark, folder).withColumns(
         {
-            "status": F.when(e % 3 == 0, "measurable").when(e % 3 == 1, "ambiguous").otherwise("maybe"), "confidence": F.lit("high"),
-            "realization": F.when(e % 2 == 0, "target").otherwise("uncertain"), "reason": F.when(e % 5 == 0, "").otherwise("clear"),
-            "selected_rank": (e % 4).cast("int"), "relative_ms": F.when(e % 6 == 0, 100.0).otherwise(F.lit(10.0)),
-            "candidates": F.array(cand(0, 0), cand(1, 15), cand(2, 600)),
+            "status": F.when(e % 4 == 0, " Measurable").when(e % 4 == 1, "measurable").when(e % 4 == 2, "unmeasurable").otherwise("ambiguous"),
+            "confidence": F.when(e % 11 == 0, "sure").otherwise("High"), "realization": F.when(e % 5 == 0, "P ").when(e % 5 == 1, "b").when(e % 5 == 2, "target").otherwise("p"),
+            "reason": F.when(e % 8 == 0, " ").otherwise("clear"), "selected_rank": F.when(e % 6 < 4, e % 6).cast("int"), "relative_ms": F.when(e % 7 < 3, (e % 7) * 15.0),
+            "source_anchor_s": a + F.when(e % 9 == 0, 0.5).otherwise(0.0), "target_class": F.lit("/P/"),
+            # an inverted window in every tenth row, with spans that still lie in order inside
+            "window_end_s": F.when(e % 10 == 0, a - 0.9).otherwise(a + 2),
+            "covered_intervals": F.when(e % 10 == 0, F.array(F.struct((a - 1).alias("start_s"), (a - 0.95).alias("end_s")))).otherwise(F.col("covered_intervals")),
+            "candidates": F.array(
+                cand(F.when(e % 13 == 0, 7).otherwise(1), 0, none), cand(F.lit(None).cast("int"), 15, F.when(e % 14 == 0, 1.0).otherwise(0.0)), cand(F.lit(3), 600, none)
+            ),
         }
     )
     return an.review_row_valid(rows).select("event_id", F.concat_ws(",", "review_reasons").alias("reasons"))

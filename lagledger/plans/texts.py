@@ -425,9 +425,15 @@ def bindings(spark, folder):
     return audit.input_binding(ann, "recorded", files, "doc_id").select("doc_id", "binding")
 
 
-@cat.query("f14_canonical_sha256", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS sha FROM documents""")
+@cat.query(
+    "f14_canonical_sha256",
+    """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"' || lang || '"' END || ',"nested":{"a":' || n_chars || ',"b":'
+ || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '"' || source || '"' END || '},"source":"' || source || '"}') AS sha FROM documents""",
+)
 def canonical(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.canonical_sha256(["source", "lang", "doc_id"]).alias("sha"))
+    nested = F.struct(F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("b"), F.col("n_chars").alias("a"))
+    d = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), "source", nested.alias("nested"))
+    return d.select("doc_id", tx.canonical_sha256(["source", "lang", "doc_id", "nested"], d.schema).alias("sha"))
 
 
 @cat.query(

@@ -33,7 +33,7 @@ def flat_columns(df: DataFrame) -> DataFrame:
     clean = strict_values(df)
     nested = (ArrayType, MapType, StructType)
     return clean.select(
-        *[(F.to_json(f"`{f.name}`") if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name) for f in clean.schema.fields]
+        *[(F.to_json(f"`{f.name}`", {"ignoreNullFields": "false"}) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name) for f in clean.schema.fields]
     )
 
 

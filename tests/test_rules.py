@@ -113,19 +113,21 @@ def test_annotation_errors(spark):
 def test_review_rank_wins_and_holes_count(spark):
     cand = "array<struct<rank:int,time_s:double,relative_ms:double>>"
     rows = [
-        ("ok", 1, 10.0, "target"), ("apart", 1, 90.0, "target"), ("rank", 9, None, "target"), ("hole", None, 300.0, "target"), ("label", 1, 10.0, "uncertain"),
+        ("ok", 1, 10.0, "P", "measurable"), ("apart", 1, 90.0, "p", "measurable"), ("rank", 9, None, "p", "measurable"), ("hole", None, 300.0, "p", "measurable"),
+        ("label", 1, 10.0, "uncertain", "measurable"), ("old", 1, 10.0, "target", "ambiguous"), ("none", None, None, "p", "measurable"), ("un", 1, None, "b", "unmeasurable"),
     ]
-    df = spark.createDataFrame(rows, "id string, selected_rank int, relative_ms double, realization string").withColumns(
+    df = spark.createDataFrame(rows, "id string, selected_rank int, relative_ms double, realization string, status string").withColumns(
         {
-            "status": F.lit("measurable"), "confidence": F.lit("high"), "reason": F.lit("clear"), "anchor_s": F.lit(5.0), "window_start_s": F.lit(4.0), "window_end_s": F.lit(6.0),
+            "confidence": F.lit(" High"), "reason": F.lit("clear"), "anchor_s": F.lit(5.0), "source_anchor_s": F.lit(5.0), "target_class": F.lit("/p/"), "window_start_s": F.lit(4.0), "window_end_s": F.lit(6.0),
             "candidates": F.array(F.struct(F.lit(1).alias("rank"), F.lit(5.012).alias("time_s"), F.lit(12.0).alias("relative_ms"))).cast(cand),
             "covered_intervals": F.array(F.struct(F.lit(4.0).alias("start_s"), F.lit(5.2).alias("end_s"))),
         }
     )
     got = {r["id"]: (r["chosen_time_s"], r["review_reasons"]) for r in an.review_row_valid(df).collect()}
     assert got["ok"] == (5.012, []) and got["apart"][1] == ["rank_and_time_disagree"]
-    assert got["rank"][1] == ["rank_out_of_range", "no_time_chosen"] and got["hole"][1] == ["time_not_covered"]
-    assert got["label"][1] == ["measurable_requires_target"]
+    assert got["rank"][1] == ["rank_out_of_range"] and got["hole"][1] == ["time_not_covered"]
+    assert got["label"][1] == ["measurable_requires_target"] and got["old"][1] == ["invalid_status", "invalid_realization"]
+    assert got["none"][1] == ["no_time_chosen"] and got["un"][1] == ["unmeasurable_with_time"]
 
 
 def test_tone_balance_and_mono(spark):
