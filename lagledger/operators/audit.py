@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lagledger.functions import text as tx
 from lagledger.operators.rules import passes, reasons
+from lagledger.session import cut_lineage
 
 # Text patterns (Java regular expressions) and their names.
 TEXT_PATTERNS = {
@@ -38,11 +39,25 @@ FORBIDDEN_PARTS = (
     "media", "outputs", "private", "recordings", "reports", "transcripts",
 )
 
+# Hexadecimal heads of approved media: signature, length and name of the first PNG chunk; mark of an MP4.
+PNG_HEAD = "89504E470D0A1A0A0000000D49484452"
+MP4_MARK = "66747970"
+
 # Result keys that would break the evidence boundary.
 FORBIDDEN_KEYS = (
     "aggregate_score", "composite_score", "overall_score", "aggregate_rank", "overall_rank", "speaker_similarity",
     "same_speaker_probability", "speaker_identity_score", "voiceprint",
 )
+# Field names, and parts of field names, that a result must not have.
+FORBIDDEN_FIELDS = (
+    "biometric_match", "closest_speaker", "composite_score", "distance", "identity_inference", "identity_probability", "identity_score", "match_probability",
+    "ranking", "same_speaker_probability", "similarity", "similarity_score", "speaker_embedding", "speaker_identity_score", "speaker_similarity",
+    "speaker_similarity_score", "voiceprint", "winner",
+)
+FORBIDDEN_FRAGMENTS = (
+    "same_speaker", "speaker_similarity", "speaker_embedding", "voiceprint", "identity_probability", "match_probability", "biometric_match",
+    "closest_speaker", "composite_score",
+)
 
 
 def leak_scan(documents: DataFrame, ident: str, text: str, patterns: Mapping[str, str] = TEXT_PATTERNS) -> DataFrame:
@@ -77,29 +92,35 @@ def path_findings(files: DataFrame) -> DataFrame:
 
 
 def allowlist(files: DataFrame, approved: DataFrame) -> DataFrame:
-    """Files against approved (path, mode, size, sha256, magic); other media are refused.
+    """Files against approved ones; other media are refused.
 
-    ``files`` has path, mode, size, content. An approved path must match in
-    every field.
+    ``files`` has path, mode, size, content; ``approved`` has path, kind (``mp4`` or ``png``), mode, sha256, size (mp4),
+    width and height (png). An approved mp4 is bound to its own size and not to the limit; it has ``ftyp`` in bytes 5 to
+    8. An approved png starts with the signature and a 13-byte IHDR chunk of the approved width and height.
     """
-    a = approved.select(
-        "path", F.col("mode").alias("_mode"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"), F.col("magic").alias("_magic")
-    )
+    a = approved.select("path", *[F.col(c).alias(f"_{c}") for c in ("kind", "mode", "size", "sha256", "width", "height")])
     out = files.join(a, "path", "left")
-    known = F.col("_sha").isNotNull()
+    known, mp4, png = F.col("_kind").isNotNull(), F.col("_kind").eqNullSafe("mp4"), F.col("_kind").eqNullSafe("png")
     suffix = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
-    head = F.hex(F.substring("content", 1, 8))
+    part = lambda start, n: F.hex(F.substring("content", start, n))
+    number = lambda start: F.conv(part(start, 4), 16, 10).cast("long")
+    is_png = F.coalesce((part(1, 16) == PNG_HEAD) & (F.octet_length("content") >= 24), F.lit(False))
+    differs = lambda x, y: ~F.coalesce(x == y, F.lit(False))
     return out.withColumn(
         "allow_reasons",
         reasons(
             (~known & suffix.isin(*MEDIA_SUFFIXES), "media not on the list"),
-            (F.col("size") > MAX_FILE_SIZE, "file too large"),
-            (known & (F.col("mode") != F.col("_mode")), "mode differs"),
-            (known & (F.col("size") != F.col("_size")), "size differs"),
-            (known & (F.sha2("content", 256) != F.lower("_sha")), "hash differs"),
-            (known & ~F.instr(head, F.upper("_magic")).cast("boolean"), "unexpected file type"),
+            (~mp4 & (F.col("size") > MAX_FILE_SIZE), "file too large"),
+            (known & differs(F.col("mode"), F.col("_mode")), "mode differs"),
+            (mp4 & differs(F.col("size"), F.col("_size")), "size differs"),
+            (mp4 & F.col("content").isNotNull() & differs(F.octet_length("content"), F.col("_size")), "data length differs"),
+            (known & F.col("content").isNull(), "cannot be validated"),
+            (known & (F.sha2("content", 256) != F.lower("_sha256")), "hash differs"),
+            (mp4 & F.col("content").isNotNull() & differs(part(5, 4), F.lit(MP4_MARK)), "unexpected file type"),
+            (png & F.col("content").isNotNull() & ~is_png, "unexpected file type"),
+            (png & is_png & ((number(17) != F.col("_width")) | (number(21) != F.col("_height"))), "dimensions differ"),
         ),
-    ).drop("_mode", "_size", "_sha", "_magic")
+    ).drop(*[f"_{c}" for c in ("kind", "mode", "size", "sha256", "width", "height")])
 
 
 def forbidden_columns(df: DataFrame) -> list[str]:
@@ -122,35 +143,30 @@ def forbidden_columns(df: DataFrame) -> list[str]:
 
 
 def _is_forbidden(name: str) -> bool:
-    return name.lower().replace("-", "_") in FORBIDDEN_KEYS
+    plain = name.strip().lower().replace("-", "_")
+    return plain in (*FORBIDDEN_KEYS, *FORBIDDEN_FIELDS) or any(f in plain for f in FORBIDDEN_FRAGMENTS)
 
 
-def forbidden_keys(documents: DataFrame, ident: str, raw: str, levels: int = 8) -> DataFrame:
-    """Forbidden keys at any depth of raw JSON text, with their paths.
+def _is_forbidden_column(name: Column) -> Column:
+    plain = F.translate(F.lower(F.trim(name)), "-", "_")
+    return plain.isin(*FORBIDDEN_KEYS, *FORBIDDEN_FIELDS) | plain.rlike("|".join(FORBIDDEN_FRAGMENTS))
 
-    Each pass opens one nesting level of the rows that still hold objects or
-    arrays; ``levels`` is the deepest nesting looked at, and what lies deeper
-    is reported as ``too_deep``.
+
+def forbidden_keys(documents: DataFrame, ident: str, raw: str) -> DataFrame:
+    """Forbidden keys at any depth of raw JSON text, with their paths: exact names and names that hold a forbidden part.
+
+    Each pass opens one nesting level of the rows that still hold objects or arrays and ends when none does, so there are
+    as many passes as the deepest text has levels. The open level is written out between passes: it shrinks each time.
     """
     level = documents.select(ident, F.lit("").alias("path"), F.try_parse_json(raw).alias("v"))
-    bad = level.filter(F.col("v").isNull()).select(ident, F.lit("").alias("path"), F.lit("not_json").alias("problem"))
-    hits = [bad]
-    nested = lambda: F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    for _ in range(levels):
-        opened = _open_level(level, ident)
-        hits.append(
-            opened.filter(F.translate(F.lower("key"), "-", "_").isin(*FORBIDDEN_KEYS)).select(
-                ident, "path", F.lit("forbidden_key").alias("problem")
-            )
-        )
-        level = opened.select(ident, "path", "v")
-    hits.append(
-        level.filter(F.col("v").isNotNull() & nested()).select(ident, "path", F.lit("too_deep").alias("problem"))
-    )
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out
+    out = level.filter(F.col("v").isNull()).select(ident, F.lit("").alias("path"), F.lit("not_json").alias("problem"))
+    level = level.filter(F.col("v").isNotNull())
+    while True:
+        opened = cut_lineage(_open_level(level, ident))
+        out = out.unionByName(opened.filter(_is_forbidden_column(F.col("key"))).select(ident, "path", F.lit("forbidden_key").alias("problem")))
+        level = opened.select(ident, "path", "v").filter(F.col("v").isNotNull() & F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        if level.isEmpty():
+            return out
 
 
 def _open_level(level: DataFrame, ident: str) -> DataFrame:

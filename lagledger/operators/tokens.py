@@ -16,12 +16,12 @@ from lagledger.session import broadcast_if_small, cut_lineage
 
 
 def explode_words(transcripts: DataFrame, source: str, segments: str = "segments") -> DataFrame:
-    """segments[].words[] in transcript order; ``word_order`` runs over segment borders."""
+    """segments[].words[] in transcript order; ``word_order`` runs over segment borders (segment above 32 bits of word)."""
     seg = transcripts.select(source, F.posexplode(segments).alias("segment_pos", "s"))
     words = seg.select(source, "segment_pos", "s.id", "s.no_speech_prob", F.posexplode("s.words").alias("word_pos", "w"))
     return words.select(
         source, F.col("id").alias("segment_id"), "no_speech_prob", "segment_pos", "word_pos", "w.*",
-        (F.col("segment_pos").cast("long") * F.lit(1_000_000) + F.col("word_pos")).alias("word_order"),
+        (F.shiftleft(F.col("segment_pos").cast("long"), 32) + F.col("word_pos")).alias("word_order"),
     )
 
 
@@ -107,7 +107,9 @@ def number_tokens(tokens: DataFrame, order: str, slicing: Slicing, ties: Sequenc
     ).drop("_at")
 
 
-def reading_audit(words: DataFrame, keys: Sequence[str], word: str, reading: str, order: str, examples: int = 20) -> DataFrame:
+def reading_audit(
+    words: DataFrame, keys: Sequence[str], word: str, reading: str, order: str, examples: int = 20, ties: Sequence[str] = ()
+) -> DataFrame:
     """Words with and without a reading, first missing examples and the scope they allow."""
     present = F.nullif(F.trim(reading), F.lit("")).isNotNull()
     counts = words.groupBy(*keys).agg(
@@ -115,10 +117,10 @@ def reading_audit(words: DataFrame, keys: Sequence[str], word: str, reading: str
         F.count_if(~present).alias("missing_reading"),
     )
     # Numbered slice by slice, so the list below holds ``examples`` rows per key.
-    missing = words.filter(~present).select(*keys, order, word)
-    numbered = scan(missing, keys, order, Slicing(width=100_000), index="_i").filter(F.col("_i") < examples)
+    missing = words.filter(~present).select(*keys, order, *ties, word)
+    numbered = scan(missing, keys, order, Slicing(width=100_000), ties=ties, index="_i").filter(F.col("_i") < examples)
     shown = numbered.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda s: s[word]).alias("missing_examples")
+        F.transform(F.array_sort(F.collect_list(F.struct(order, *ties, word))), lambda s: s[word]).alias("missing_examples")
     )
     return counts.join(shown, list(keys), "left").withColumn(
         "inventory_scope", F.when(F.col("missing_reading") == 0, "complete_readings").otherwise("explicit_targets_only")

@@ -154,16 +154,16 @@ def token_ids(spark, folder):
 
 @cat.query(
     "a15_reading_audit",
-    f"""WITH {WORDS_SQL}, m AS (SELECT source, doc_id * 1000000 + pos AS o, word, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS rn FROM w WHERE lang <> 'en'),
-x AS (SELECT source, string_agg(word, '|' ORDER BY o) AS ex FROM m WHERE rn <= 20 GROUP BY 1)
+    f"""WITH {WORDS_SQL}, m AS (SELECT source, doc_id, pos, word, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS rn FROM w WHERE lang <> 'en'),
+x AS (SELECT source, string_agg(word, '|' ORDER BY doc_id, pos) AS ex FROM m WHERE rn <= 20 GROUP BY 1)
 SELECT source, count(*) AS word_count, count(*) FILTER (lang = 'en') AS with_reading, count(*) FILTER (lang <> 'en') AS missing_reading, any_value(ex) AS examples FROM w LEFT JOIN x USING (source) GROUP BY 1""",
 )
 def readings(spark, folder):
     w = doc_words(spark, folder).select(
-        "source", "word", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("o"),
+        "source", "word", "doc_id", "pos",
         F.when(F.col("lang") == "en", "r").alias("reading"),
     )
-    a = tk.reading_audit(w, ["source"], "word", "reading", "o", 20)
+    a = tk.reading_audit(w, ["source"], "word", "reading", "doc_id", 20, ties=["pos"])
     return a.select("source", "word_count", "with_reading", "missing_reading", F.concat_ws("|", "missing_examples").alias("examples"))
 
 
@@ -351,34 +351,56 @@ def file_rules(spark, folder):
     return audit.path_findings(page_files(spark, folder)).select("page_id", F.concat_ws(",", "findings").alias("findings"))
 
 
+# Pages as media: a third has an MP4 head, a third a PNG head of 64 x 48, with wrong heads here and there.
+MEDIA_SQL = rf"""{FILES_SQL}, b AS (SELECT page_id, lpad(page_id::VARCHAR, 9, '0') || '/' || path AS path, mode, hex(encode(html)) AS h, page_id AS i FROM q),
+c AS (SELECT *, CASE i % 3 WHEN 0 THEN CASE WHEN i % 7 = 0 THEN '66747970' || '0000' ELSE '0000002066747970' END WHEN 1 THEN CASE WHEN i % 7 = 0 THEN '89504E470D0A1A0B' ELSE '89504E470D0A1A0A' END || '0000000D49484452' || '00000040' || '00000030' ELSE '' END || h AS x FROM b),
+m AS (SELECT *, CASE WHEN i % 5 = 0 THEN length(x) // 2 * 1000 ELSE length(x) // 2 END AS size, sha256(unhex(x)) AS sha FROM c)"""
+
+
+def media_files(spark, folder):
+    i = F.col("page_id")
+    head = (
+        F.when(i % 3 == 0, F.when(i % 7 == 0, "667479700000").otherwise("0000002066747970"))
+        .when(i % 3 == 1, F.concat(F.when(i % 7 == 0, "89504E470D0A1A0B").otherwise("89504E470D0A1A0A"), F.lit("0000000D49484452" + "00000040" + "00000030"))).otherwise("")
+    )
+    f = page_files(spark, folder).withColumns({"path": F.concat(F.lpad(i.cast("string"), 9, "0"), F.lit("/"), "path"), "content": F.unhex(F.concat(head, F.hex("content")))})
+    return f.withColumn("size", (F.octet_length("content") * F.when(i % 5 == 0, 1000).otherwise(1)).cast("long"))
+
+
 @cat.query(
     "j15_allowlist",
-    rf"""WITH {FILES_SQL}, a AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN size + 1 ELSE size END AS s, CASE WHEN page_id % 4 = 0 THEN sha256('x') ELSE sha256(html) END AS h FROM q WHERE page_id % 2 = 0)
-SELECT page_id, concat_ws(',', CASE WHEN s IS NULL AND path LIKE '%/a.PNG' THEN 'media not on the list' END, CASE WHEN size > 5242880 THEN 'file too large' END,
- CASE WHEN mode <> '100644' AND s IS NOT NULL THEN 'mode differs' END, CASE WHEN size <> s THEN 'size differs' END, CASE WHEN sha256(html) <> h THEN 'hash differs' END) AS reasons FROM q LEFT JOIN a USING (page_id)""",
+    rf"""WITH {MEDIA_SQL}, a AS (SELECT *, i % 2 = 0 AND i % 3 < 2 AS k, i % 2 = 0 AND i % 3 = 0 AS v, i % 2 = 0 AND i % 3 = 1 AS p, CASE WHEN i % 4 = 0 THEN sha256('x') ELSE sha END AS want FROM m)
+SELECT page_id, concat_ws(',', CASE WHEN NOT k AND path LIKE '%/a.PNG' THEN 'media not on the list' END, CASE WHEN NOT v AND size > 5242880 THEN 'file too large' END,
+ CASE WHEN k AND mode <> '100644' THEN 'mode differs' END, CASE WHEN v AND i % 5 = 0 THEN 'size differs' END, CASE WHEN k AND sha <> want THEN 'hash differs' END,
+ CASE WHEN (v OR p) AND i % 7 = 0 THEN 'unexpected file type' END, CASE WHEN p AND i % 7 <> 0 AND i % 8 = 0 THEN 'dimensions differ' END) AS reasons FROM a""",
 )
 def allowed(spark, folder):
-    f = page_files(spark, folder).withColumn("path", F.concat(F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit("/"), "path"))
-    i = F.col("page_id")
-    a = f.filter(i % 2 == 0).select(
-        "path", F.lit("100644").alias("mode"), F.when(i % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
-        F.when(i % 4 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"), F.lit("3C21").alias("magic"),
+    f, i = media_files(spark, folder), F.col("page_id")
+    a = f.filter((i % 2 == 0) & (i % 3 < 2)).select(
+        "path", F.when(i % 3 == 0, "mp4").otherwise("png").alias("kind"), F.lit("100644").alias("mode"), F.octet_length("content").cast("long").alias("size"),
+        F.when(i % 4 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"), F.when(i % 8 == 0, 65).otherwise(64).alias("width"), F.lit(48).alias("height"),
     )
     return audit.allowlist(f, a).select("page_id", F.concat_ws(",", "allow_reasons").alias("reasons"))
 
 
+DEEP = 12
+
+
 @cat.query(
     "x7_forbidden_keys",
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a.b[1].Overall-Score' ELSE 'voiceprint' END AS path, 'forbidden_key' AS problem FROM events WHERE event_id % 3 <> 1""",
+    f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'a.b[1].Overall-Score' WHEN 2 THEN 'voiceprint' WHEN 3 THEN '{"deep." * DEEP}closest_speaker' ELSE 'x.my_speaker_similarity_2' END AS path, 'forbidden_key' AS problem
+FROM events WHERE event_id % 5 <> 1 UNION ALL SELECT event_id, 'distance', 'forbidden_key' FROM events WHERE event_id % 5 = 4""",
 )
 def forbidden(spark, folder):
-    e = table(spark, folder, "events")
+    """Real properties with forbidden names at the top, in a list, as a part of a name and below twelve levels."""
+    e, m = table(spark, folder, "events"), F.col("event_id") % 5
     inner = F.regexp_replace("props", "^.|.$", "")
+    put = lambda head: F.concat(F.lit("{" + head + ", "), inner, F.lit("}"))
     raw = (
-        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"b": [1, {"Overall-Score": 2}]}, '), inner, F.lit("}")))
-        .when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.concat(F.lit('{"voiceprint": {"z": [[1]]}, '), inner, F.lit("}")))
+        F.when(m == 0, put('"a": {"b": [1, {"Overall-Score": 2}]}')).when(m == 1, F.col("props")).when(m == 2, put('"voiceprint": {"z": [[1]]}'))
+        .when(m == 3, put('"deep": {' * DEEP + '"closest_speaker": 1' + "}" * DEEP)).otherwise(put('"x": {"my_speaker_similarity_2": 0}, "distance": 3'))
     )
-    return audit.forbidden_keys(e.select("event_id", raw.alias("raw")), "event_id", "raw", levels=5)
+    return audit.forbidden_keys(e.select("event_id", raw.alias("raw")), "event_id", "raw")
 
 
 @cat.query(
