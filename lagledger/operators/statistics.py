@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from lagledger.operators.scan import Slicing, scan
 # One cell per group; a group above max_rows is cut at value quantiles.
 BY_VALUE = Slicing(width=1e300)
 EXACT_LABELINGS = 250_000
-EXACT_MEDIAN_ROWS = 130
+EXACT_MEDIAN_ROWS = 400
+DRAWS = 5_000  # draws per block of random numbers
 
 CAUTIONS = (
     "Epochs, not single tokens, are compared, so repeated tokens do not count as independent.",
@@ -42,6 +44,64 @@ def draw(seed: int | Column, replicate: Column, slot: Column) -> Column:
     return mix32(first.bitwiseXOR(mix32(slot.cast("long").bitwiseAND(mask))))
 
 
+def _central(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the lower and upper middle of n values, from 0."""
+    return (n - 1) // 2, n // 2
+
+
+def _middle_uniforms(rng: np.random.Generator, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two middle order statistics of n uniform numbers (the same number twice where n is odd)."""
+    low, high = _central(n)
+    first = rng.beta(low + 1, n - low)
+    step = rng.random(len(n)) ** (1.0 / np.maximum(n - low - 1, 1))
+    return first, np.where(high > low, 1.0 - (1.0 - first) * step, first)
+
+
+def _others_below(rng: np.random.Generator, x: tuple[np.ndarray, np.ndarray], w: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of n uniform numbers, with middle order statistics ``w``, lie below each of ``x`` (x[0] <= x[1])."""
+    low, high = _central(n)
+    share = lambda part, whole: np.clip(np.where(whole > 0, part / np.where(whole > 0, whole, 1.0), 0.0), 0.0, 1.0)
+    a0, a1 = np.minimum(x[0], w[0]), np.minimum(x[1], w[0])
+    below0 = rng.binomial(low, share(a0, w[0]))
+    below1 = below0 + rng.binomial(low - below0, share(a1 - a0, w[0] - a0))
+    rest = n - high - 1
+    c0, c1 = np.maximum(x[0] - w[1], 0.0), np.maximum(x[1] - w[1], 0.0)
+    above0 = rng.binomial(rest, share(c0, 1.0 - w[1]))
+    above1 = above0 + rng.binomial(rest - above0, share(c1 - c0, 1.0 - w[1] - c0))
+    middle = lambda v: (v > w[0]).astype(np.int64) + ((v > w[1]) & (high > low))
+    return below0 + middle(x[0]) + above0, below1 + middle(x[1]) + above1
+
+
+def _drawn(sizes: DataFrame, keys: list[str], iterations: int, seed: int | Column, ranks: Sequence[str], kernel) -> DataFrame:
+    """(keys, _b, one column per rank): ``kernel(rng, size columns of each draw)`` in blocks of DRAWS draws.
+
+    A resample's medians depend on its middle ranks only, and their distribution is known, so a draw costs a few random
+    numbers however many rows there are. The generator of a block is seeded by (seed, key, block).
+    """
+    blocks = -(-iterations // DRAWS)
+    start = seed if isinstance(seed, Column) else F.lit(seed)
+    own = F.crc32(F.to_json(F.struct(F.lit(0).alias("_"), *keys), {"ignoreNullFields": "false"}).cast("binary"))
+    names = [c for c in sizes.columns if c not in keys]
+    work = sizes.withColumns({"_seed": start.cast("long"), "_own": own}).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.select(*keys).schema]
+    schema = ", ".join([*fields, "_b long", *[f"`{r}` long" for r in ranks]])
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                row = dict(zip(frame.columns, row))
+                first = int(row["_block"]) * DRAWS
+                many = min(DRAWS, iterations - first)
+                rng = np.random.default_rng([abs(int(row["_seed"])), int(row["_own"]), int(row["_block"])])
+                made = kernel(rng, *[np.full(many, int(row[c]), np.int64) for c in names])
+                out = pd.DataFrame({"_b": first + np.arange(many), **dict(zip(ranks, made))})
+                for c in keys:
+                    out[c] = pd.Series([row[c]] * many, dtype=frame[c].dtype)
+                yield out[[*keys, "_b", *ranks]]
+
+    return work.repartition(*keys, "_block").mapInPandas(run, schema)
+
+
 def cliffs_delta(values: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """P(candidate > control) + ties/2, and 2p - 1, from cumulative counts of equal values.
 
@@ -63,14 +123,14 @@ def cliffs_delta(values: DataFrame, keys: Sequence[str], group: str, value: str)
 
 
 def bootstrap_median_difference(
-    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column
+    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column, draws: str = "ranks"
 ) -> DataFrame:
     """Percentile interval of the resampled median difference and its share above zero.
 
-    Values get a dense rank per group, so a resample is a set of drawn ranks
-    and its median needs only the two middle ranks. Drawn ranks are aggregated
-    to (replicate, rank, count) map-side; values are looked up afterwards for
-    two ranks per replicate.
+    Values get a dense rank per group, and a resample's median needs only its
+    two middle ranks. ``draws="ranks"`` draws those two directly, whatever the
+    number of rows; ``"hash"`` draws every row of every resample from a hash
+    that SQL can repeat, which costs rows x iterations.
     """
     keys = list(keys)
     by = [*keys, group]
@@ -78,13 +138,22 @@ def bootstrap_median_difference(
         values.filter(F.col(value).isNotNull()).select(*by, value), by, value, BY_VALUE, index="_rank"
     )
     sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if draws == "ranks":
+        def kernel(rng, n):
+            return [np.minimum((u * n).astype(np.int64), n - 1) for u in _middle_uniforms(rng, n)]
+
+        middle = _drawn(sizes, by, iterations, seed, ["_lo", "_hi"], kernel)
+        return _bootstrap_interval(middle, ranked, keys, by, group, value)
     drawn = (
         ranked.select(*by, "_rank")
         .join(sizes, by)
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
         .withColumn("_pick", F.floor(draw(seed, F.col("_b"), F.col("_rank")) * F.col("_n") / F.lit(4294967296.0)))
     )
-    middle = _middle_ranks(drawn, by)
+    return _bootstrap_interval(_middle_ranks(drawn, by), ranked, keys, by, group, value)
+
+
+def _bootstrap_interval(middle: DataFrame, ranked: DataFrame, keys: list[str], by: list[str], group: str, value: str) -> DataFrame:
     looked = middle.select(*by, "_b", F.explode(F.array("_lo", "_hi")).alias("_rank")).join(
         ranked, [*by, "_rank"]
     ).groupBy(*by, "_b").agg(F.avg(value).alias("_m"))
@@ -125,13 +194,14 @@ def _ranked_pool(values: DataFrame, keys: list[str], group: str, value: str) ->
 
 
 def label_permutation(
-    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column
+    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column, draws: str = "ranks"
 ) -> DataFrame:
     """One-sided label permutation share, (hits + 1) / (total + 1).
 
     All labelings when there are at most 250 000 of them (so a group has few
-    rows), else ``iterations`` random ones: a labeling takes the k rows with
-    the smallest draws.
+    rows), else ``iterations`` random ones. ``draws="ranks"`` draws the middle
+    ranks of both sides of a labeling, whatever the number of rows; ``"hash"``
+    takes the k rows with the smallest draws of a hash that SQL can repeat.
     """
     keys = list(keys)
     pool = _ranked_pool(values, keys, group, value).filter((F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
@@ -144,6 +214,9 @@ def label_permutation(
     )
     exact = few.groupBy(*keys).applyInPandas(_enumerate_labelings(keys), schema)
 
+    if draws == "ranks":
+        random = _random_labelings(many, keys, iterations, seed)
+        return exact.unionByName(random).withColumn("permutation_p", (F.col("hits") + 1) / (F.col("total") + 1))
     rows = many.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn(
         "_u", draw(seed, F.col("_b"), F.col("_rank"))
     )
@@ -164,6 +237,25 @@ def label_permutation(
     return exact.unionByName(random).withColumn("permutation_p", (F.col("hits") + 1) / (F.col("total") + 1))
 
 
+def _random_labelings(pool: DataFrame, keys: list[str], iterations: int, seed: int | Column) -> DataFrame:
+    """(keys, hits, total) over random labelings of a ranked pool."""
+    sizes = pool.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_k").alias("_k"))
+
+    def kernel(rng, n, k):
+        mine, theirs = _middle_uniforms(rng, k), _middle_uniforms(rng, n - k)
+        a, b = _others_below(rng, mine, theirs, n - k), _others_below(rng, theirs, mine, k)
+        return [r + c for r, c in zip((*_central(k), *_central(n - k)), (*a, *b))]
+
+    ranks = ["_c0", "_c1", "_k0", "_k1"]
+    at = _drawn(sizes, keys, iterations, seed, ranks, kernel)
+    sides = F.array(*[F.struct(F.lit(r < "_d").alias("mine"), F.col(r).alias("_rank")) for r in ranks])
+    looked = at.select(*keys, "_b", F.explode(sides).alias("_side")).select(*keys, "_b", "_side.mine", "_side._rank").join(pool.select(*keys, "_rank", "_v", "_observed"), [*keys, "_rank"])
+    stats = looked.groupBy(*keys, "_b").agg(
+        (F.avg(F.when(F.col("mine"), F.col("_v"))) - F.avg(F.when(~F.col("mine"), F.col("_v")))).alias("_stat"), F.max("_observed").alias("_observed")
+    )
+    return stats.groupBy(*keys).agg(F.count_if(F.col("_stat") >= F.col("_observed") - F.lit(1e-12)).alias("hits"), F.count(F.lit(1)).alias("total"))
+
+
 def labelings(n: Column, k: Column) -> Column:
     """C(n, k), stopped at one above the enumeration limit (DOUBLE)."""
     small = F.least(k, n - k)
@@ -204,13 +296,16 @@ def _enumerate_labelings(keys: list[str]):
     return run
 
 
-def exact_median_permutation(values: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+def exact_median_permutation(
+    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int = 100_000, seed: int | Column = 1729
+) -> DataFrame:
     """Exact tail share of the median difference over all labelings (no +1).
 
-    Groups of at most 130 rows; larger ones come back with
-    ``method = 'too_large'`` for :func:`label_permutation`. Labelings are
-    counted, not listed: rows are taken in value order, and labelings that
-    agree so far in their counts and central values are merged.
+    Labelings are counted, not listed: rows are taken in value order, and
+    labelings that agree so far in their counts and central values are merged.
+    Counts are whole numbers of any size; ``tail`` and ``total`` are NULL where
+    they exceed 38 digits, ``exact_p`` is there all the same. Groups above 400
+    rows get ``iterations`` random labelings and ``method = 'sampled'``.
     """
     keys = list(keys)
     pool = _ranked_pool(values, keys, group, value).filter((F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
@@ -219,13 +314,13 @@ def exact_median_permutation(values: DataFrame, keys: Sequence[str], group: str,
     counted = pool.filter(F.col("_n") <= EXACT_MEDIAN_ROWS).groupBy(*keys).applyInPandas(
         _count_labelings(keys), f"{lead}tail string, total string, exact_p double"
     )
-    number = lambda c: F.col(c).cast("decimal(38,0)").alias(c)
+    number = lambda c: F.when(F.length(c) <= 38, F.col(c)).cast("decimal(38,0)").alias(c)
     done = counted.select(*keys, number("tail"), number("total"), "exact_p", F.lit("exact").alias("method"))
-    skipped = pool.filter(F.col("_n") > EXACT_MEDIAN_ROWS).select(*keys).distinct().select(
-        *keys, F.lit(None).cast("decimal(38,0)").alias("tail"), F.lit(None).cast("decimal(38,0)").alias("total"),
-        F.lit(None).cast("double").alias("exact_p"), F.lit("too_large").alias("method"),
+    sampled = _random_labelings(pool.filter(F.col("_n") > EXACT_MEDIAN_ROWS), keys, iterations, seed).select(
+        *keys, F.col("hits").cast("decimal(38,0)").alias("tail"), F.col("total").cast("decimal(38,0)").alias("total"),
+        (F.col("hits") / F.col("total")).alias("exact_p"), F.lit("sampled").alias("method"),
     )
-    return done.unionByName(skipped)
+    return done.unionByName(sampled)
 
 
 def tail_of_labelings(v: Sequence[float], k: int, observed: float) -> tuple[int, int]:
@@ -277,8 +372,8 @@ def _binomial_text(n: pd.Series, k: pd.Series) -> pd.Series:
 
 
 def binomial(n: Column, k: Column) -> Column:
-    """Exact C(n, k) as DECIMAL(38,0); n up to 130."""
-    return _binomial_text(n.cast("long"), k.cast("long")).cast("decimal(38,0)")
+    """Exact C(n, k) as a decimal text, whatever its size."""
+    return _binomial_text(n.cast("long"), k.cast("long"))
 
 
 def compare_groups(
@@ -292,6 +387,7 @@ def compare_groups(
     iterations: int = 20_000,
     permutations: int = 100_000,
     seed: int | Column = 1729,
+    draws: str = "ranks",
 ) -> DataFrame:
     """Medians, difference, effect size, interval and permutation share per key.
 
@@ -318,10 +414,10 @@ def compare_groups(
     table = (
         table.join(cliffs_delta(epochs, keys, group, value), keys, "left")
         .join(
-            bootstrap_median_difference(epochs, keys, group, value, iterations=iterations, seed=seed), keys, "left"
+            bootstrap_median_difference(epochs, keys, group, value, iterations=iterations, seed=seed, draws=draws), keys, "left"
         )
         .join(
-            label_permutation(epochs, keys, group, value, iterations=permutations, seed=seed + 1).select(
+            label_permutation(epochs, keys, group, value, iterations=permutations, seed=seed + 1, draws=draws).select(
                 *keys, "permutation_p"
             ),
             keys, "left",
@@ -344,7 +440,7 @@ def compare_groups(
 
 
 def compare_metrics(
-    epochs: DataFrame, keys: Sequence[str], metrics: Sequence[str], *, group: str = "grp", iterations: int, seed: int | Column
+    epochs: DataFrame, keys: Sequence[str], metrics: Sequence[str], *, group: str = "grp", iterations: int = 20_000, seed: int | Column
 ) -> DataFrame:
     """Candidate minus control per key and metric, one grouped job for all metrics.
 
@@ -367,6 +463,6 @@ def compare_metrics(
         medians.withColumn("median_difference", F.col("candidate_median") - F.col("control_median"))
         .join(cliffs_delta(long, by, group, "value"), by, "left")
         .join(bootstrap_median_difference(long, by, group, "value", iterations=iterations, seed=seed), by, "left")
-        .join(exact_median_permutation(long, by, group, "value"), by, "left")
+        .join(exact_median_permutation(long, by, group, "value", seed=seed), by, "left")
         .fillna(0, subset=["candidate_epochs", "control_epochs"])
     )

@@ -15,7 +15,7 @@ from lagledger.plans.synchrony import LEDGER_SQL, LIMIT_US, MARGIN_MS, epochs_of
 from lagledger.session import cut_lineage
 
 cat = Catalogue()
-B = 200
+B = 200  # of the queries that SQL repeats draw by draw; the full ones take the published numbers
 ALL = ["stratum"]
 MASK = 4294967295
 
@@ -44,10 +44,31 @@ bm AS (SELECT pk.grp, b, median(v) AS m FROM pk JOIN rk ON rk.grp = pk.grp AND r
     f"WITH {LEDGER_SQL}, {BOOT_SQL} SELECT round(quantile_cont(d, 0.025), 3) AS ci_low, round(quantile_cont(d, 0.975), 3) AS ci_high, round(avg((d > 0)::INT), 6) AS share_above_zero FROM bd",
 )
 def bootstrap(spark, folder):
-    b = st.bootstrap_median_difference(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", iterations=B, seed=1729)
+    b = st.bootstrap_median_difference(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", iterations=B, seed=1729, draws="hash")
     return b.select(F.round("ci_low", 3).alias("ci_low"), F.round("ci_high", 3).alias("ci_high"), r6("bootstrap_share_above_zero").alias("share_above_zero"))
 
 
+@cat.query("q2_bootstrap_full")
+def bootstrap_full(spark, folder):
+    return st.bootstrap_median_difference(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", iterations=20_000, seed=1729)
+
+
+@cat.query("q3_permutation_full")
+def permutation_full(spark, folder):
+    return st.label_permutation(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", iterations=100_000, seed=1730)
+
+
+@cat.query("q5_compare_groups_full")
+def compared_full(spark, folder):
+    return st.compare_groups(all_epochs(spark, folder), ALL, margin_ms=MARGIN_MS, seed=1729)
+
+
+@cat.query("q4_sampled_median_permutation")
+def sampled(spark, folder):
+    """One group of all epochs: above the size that is counted, so labelings are drawn."""
+    return st.exact_median_permutation(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", seed=1729)
+
+
 PERM_SQL = f"""pb AS (SELECT unnest(range({B})) AS b), pr AS (SELECT median_lag_ms AS v, row_number() OVER (ORDER BY median_lag_ms) - 1 AS r, (SELECT count(*) FROM mid WHERE grp = 'candidate') AS k FROM mid),
 pd AS ({draw_sql(1730, 'b', 'r').format(src='(SELECT * FROM pr CROSS JOIN pb)')}), pc AS (SELECT b, v, row_number() OVER (PARTITION BY b ORDER BY d, r) <= k AS i FROM pd),
 ps AS (SELECT b, median(v) FILTER (i) - median(v) FILTER (NOT i) AS s FROM pc GROUP BY 1), po AS (SELECT median(median_lag_ms) FILTER (grp = 'candidate') - median(median_lag_ms) FILTER (grp = 'control') AS o FROM mid)"""
@@ -58,7 +79,7 @@ ps AS (SELECT b, median(v) FILTER (i) - median(v) FILTER (NOT i) AS s FROM pc GR
     f"WITH {LEDGER_SQL}, {PERM_SQL} SELECT count(*) FILTER (s >= o - 1e-12) AS hits, count(*) AS total, round((count(*) FILTER (s >= o - 1e-12) + 1) / (count(*) + 1), 6) AS permutation_p FROM ps, po",
 )
 def permutation(spark, folder):
-    p = st.label_permutation(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", iterations=B, seed=1730)
+    p = st.label_permutation(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", iterations=B, seed=1730, draws="hash")
     return p.select("hits", "total", r6("permutation_p").alias("permutation_p"))
 
 
@@ -108,7 +129,7 @@ SELECT cn AS candidate_epoch_count, kn AS control_epoch_count, ce::BIGINT AS can
  round((SELECT (count(*) FILTER (s >= o - 1e-12) + 1) / (count(*) + 1) FROM ps, po), 6) AS permutation_p FROM g, pw""",
 )
 def compared(spark, folder):
-    c = st.compare_groups(all_epochs(spark, folder), ALL, margin_ms=MARGIN_MS, iterations=B, permutations=B, seed=1729)
+    c = st.compare_groups(all_epochs(spark, folder), ALL, margin_ms=MARGIN_MS, iterations=B, permutations=B, seed=1729, draws="hash")
     k = lambda n: F.round(n, 3)
     return c.select(
         "candidate_epoch_count", "control_epoch_count", "candidate_event_count", k("candidate_median_ms").alias("candidate_median_ms"),
@@ -125,7 +146,7 @@ cd AS (SELECT a.sm, 2 * avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5
 SELECT split_part(ex.key, '/', 1) AS stratum, split_part(ex.key, '/', 2) AS metric, round(o, 6) AS median_difference, round(delta, 6) AS cliffs_delta, round(tail / total, 6) AS exact_p FROM ex JOIN ob ON ob.key = ex.key JOIN cd ON cd.sm = ex.key""",
 )
 def metrics(spark, folder):
-    m = st.compare_metrics(weekly(spark, folder), ALL, ["median_value", "mean_value"], iterations=B, seed=7)
+    m = st.compare_metrics(weekly(spark, folder), ALL, ["median_value", "mean_value"], seed=7)
     return m.select("stratum", "metric", r6("median_difference").alias("median_difference"), r6("cliffs_delta").alias("cliffs_delta"), r6("exact_p").alias("exact_p"))
 
 
@@ -155,7 +176,7 @@ def strata(spark, folder):
     parts = cut_lineage(in_strata(rows, "event_type", STRATA))
     e = cut_lineage(epoch_summary(parts, margin_ms=MARGIN_MS, keys=["stratum", "speaker", "grp", "epoch_id"]))
     seed = F.abs(F.hash("stratum")) % 100_000
-    c = st.compare_groups(e, ALL, margin_ms=MARGIN_MS, iterations=50, permutations=50, seed=seed)
+    c = st.compare_groups(e, ALL, margin_ms=MARGIN_MS, seed=seed)
     return c.select(
         "stratum", F.col("candidate_epoch_count").alias("candidate_epochs"), F.col("control_epoch_count").alias("control_epochs"),
         (F.col("candidate_event_count") + F.col("control_event_count")).alias("events"), F.round("median_difference_ms", 3).alias("median_difference_ms"),
@@ -165,9 +186,9 @@ def strata(spark, folder):
 
 @cat.query(
     "f15_binomial",
-    """WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), h AS (SELECT label, least(n, 60) AS n, label AS k FROM g)
-SELECT label, n, list_reduce(list_prepend(1::HUGEINT, range(1, k + 1)::HUGEINT[]), lambda a, i: a * (n - k + i) // i)::BIGINT AS labelings FROM h""",
+    """WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), h AS (SELECT label, n, label AS k FROM g)
+SELECT label, n, list_reduce(list_prepend(1::HUGEINT, range(1, k + 1)::HUGEINT[]), lambda a, i: a * (n - k + i) // i)::VARCHAR AS labelings FROM h""",
 )
 def labelings(spark, folder):
-    g = clips(spark, folder).groupBy(F.col("group_id").alias("label")).agg(F.least(F.count(F.lit(1)), F.lit(60)).alias("n"))
-    return g.select("label", "n", st.binomial(F.col("n"), F.col("label")).cast("long").alias("labelings"))
+    g = clips(spark, folder).groupBy(F.col("group_id").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("label", "n", st.binomial(F.col("n"), F.col("label")).alias("labelings"))

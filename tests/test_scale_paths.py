@@ -122,7 +122,7 @@ def test_exact_permutation_equals_enumeration():
             assert st.tail_of_labelings(v, k, obs) == (sum(s >= obs - 1e-12 for s in stats), len(stats))
 
 
-def test_cliffs_delta_and_too_large_groups(spark):
+def test_cliffs_delta_and_groups_above_130_rows(spark):
     rng = np.random.default_rng(4)
     p = pd.DataFrame({"s": "x", "grp": ["candidate"] * 80 + ["control"] * 70, "v": rng.integers(0, 20, 150).astype(float)})
     df = spark.createDataFrame(p)
@@ -130,7 +130,49 @@ def test_cliffs_delta_and_too_large_groups(spark):
     a, b = p[p.grp == "candidate"].v.to_numpy(), p[p.grp == "control"].v.to_numpy()
     d = a[:, None] - b[None, :]
     assert abs(r["cliffs_delta"] - (2 * ((d > 0).mean() + 0.5 * (d == 0).mean()) - 1)) < 1e-12
-    assert st.exact_median_permutation(df, ["s"], "grp", "v").collect()[0]["method"] == "too_large"
+    counted = st.exact_median_permutation(df, ["s"], "grp", "v").collect()[0]
+    assert counted["method"] == "exact" and counted["total"] is None and 0 < counted["exact_p"] < 1
+    drawn = st.label_permutation(df, ["s"], "grp", "v", iterations=100_000, seed=3).collect()[0]
+    assert drawn["total"] == 100_000 and abs(drawn["permutation_p"] - counted["exact_p"]) < 0.006
+    large = spark.createDataFrame(pd.DataFrame({"s": "x", "grp": ["candidate"] * 201 + ["control"] * 250, "v": rng.normal(size=451)}))
+    sampled = st.exact_median_permutation(large, ["s"], "grp", "v").collect()[0]
+    assert sampled["method"] == "sampled" and sampled["total"] == 100_000 and 0 <= sampled["exact_p"] <= 1
+
+
+@pytest.mark.parametrize("n,m", [(7, 9), (8, 5), (6, 12), (1, 30)])
+def test_rank_draws_have_the_distribution_of_row_draws(spark, n, m):
+    """Resamples and labelings whose middle ranks are drawn against ones made row by row."""
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(1, 1, n), rng.normal(0, 1, m)
+    df = spark.createDataFrame(pd.DataFrame({"s": [None] * (n + m), "grp": ["candidate"] * n + ["control"] * m, "v": np.concatenate((a, b))}), "s string, grp string, v double")
+    got = st.bootstrap_median_difference(df.fillna("k"), ["s"], "grp", "v", iterations=40_000, seed=5).collect()[0]
+    d = np.median(rng.choice(a, (40_000, n)), axis=1) - np.median(rng.choice(b, (40_000, m)), axis=1)
+    assert abs(got["bootstrap_share_above_zero"] - (d > 0).mean()) < 0.015
+    low, high = np.quantile(d, [0.02, 0.03]), np.quantile(d, [0.97, 0.98])
+    assert low[0] <= got["ci_low"] <= low[1] and high[0] <= got["ci_high"] <= high[1]
+    pool = st._ranked_pool(df.fillna("k"), ["s"], "grp", "v")
+    hits, total = st._random_labelings(pool, ["s"], 40_000, 9).select("hits", "total").collect()[0]
+    both, observed = np.concatenate((a, b)), np.median(a) - np.median(b)
+    mixed = rng.permuted(np.broadcast_to(both, (40_000, n + m)), axis=1)
+    share = (np.median(mixed[:, :n], axis=1) - np.median(mixed[:, n:], axis=1) >= observed - 1e-12).mean()
+    assert total == 40_000 and abs(hits / total - share) < 0.012
+
+
+def test_runs_keep_rows_without_key_or_time(spark):
+    from lagledger.operators.scan import Slicing, framed, runs
+
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 30, "y"), ("a", None, "x"), (None, 1, "x"), (None, 25, "y"), (None, 26, "y")]
+    df = spark.createDataFrame(rows, "k string, t long, l string")
+    got = sorted((r["k"] or "", -1 if r["t"] is None else r["t"], r["run_id"]) for r in runs(df, ["k"], "t", Slicing(width=10), F.col("l")).collect())
+    assert got == [("", 1, 1), ("", 25, 2), ("", 26, 2), ("a", -1, 1), ("a", 1, 1), ("a", 2, 1), ("a", 30, 2)]
+    assert framed(df, ["k"], "t", Slicing(width=10), {"n": ("count(1)", -1, 0)}).count() == len(rows)
+
+
+def test_deviation_of_a_null_key(spark):
+    from lagledger.operators.quantiles import median_and_mad
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (None, 8.0), ("a", 2.0)], "k string, v double")
+    assert {(r["k"], r["median"], r["mad"]) for r in median_and_mad(df, ["k"], "v").collect()} == {(None, 3.0, 2.0), ("a", 2.0, 0.0)}
 
 
 def test_partition_count_does_not_matter(spark, rows):
