@@ -180,3 +180,36 @@ def test_partition_count_does_not_matter(spark, rows):
     a = seq.jump_flags(df.repartition(1), ["k"], "t", "v", 0.15, HOT, ties=["id"]).select("id", "jump").collect()
     b = seq.jump_flags(df.repartition(7), ["k"], "t", "v", 0.15, COLD, ties=["id"]).select("id", "jump").collect()
     assert sorted(a) == sorted(b)
+
+
+@pytest.mark.parametrize("fold_rows,max_rows", [(10_000, 10_000), (3, 10_000), (3, 40)])
+def test_greedy_choices_agree_on_every_path(spark, fold_rows, max_rows):
+    from lagledger.operators.release import cluster_events, min_separation
+
+    rng = np.random.default_rng(8)
+    t = np.unique(rng.integers(0, 4000, 260)).astype(float)
+    p = pd.DataFrame({"k": "a", "t": t, "s": rng.integers(0, 12, len(t)).astype(float), "id": np.arange(len(t))})
+    order = p.sort_values(["s", "t"], ascending=[False, True])
+    kept, home = [], {}
+    for x in order.itertuples():
+        if all(abs(y.t - x.t) >= 20 for y in kept):
+            kept.append(x)
+    leaders = []
+    for x in order.itertuples():
+        own = next((y for y in leaders if abs(y.t - x.t) <= 20), x)
+        if own is x:
+            leaders.append(x)
+        home[x.t] = (own.t, own.s)
+    df = spark.createDataFrame(p)
+    got = min_separation(df, ["k"], "t", "s", "id", 20.0, COLD, max_rows=max_rows, fold_rows=fold_rows)
+    assert sorted(r["id"] for r in got.collect()) == sorted(y.id for y in kept)
+    got = cluster_events(df, ["k"], "t", "s", 20.0, COLD, max_rows=max_rows, fold_rows=fold_rows)
+    assert {r["t"]: (r["leader_t"], r["leader_score"]) for r in got.collect()} == home
+
+
+def test_a_long_ramp_is_decided_in_one_pass(spark):
+    from lagledger.operators.release import min_separation
+
+    df = spark.range(100_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("t"), F.col("id").cast("double").alias("s"), "id")
+    got = min_separation(df, ["k"], "t", "s", "id", 10.0, sc.Slicing(width=1e4))
+    assert got.count() == 10_000
