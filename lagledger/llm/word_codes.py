@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST_WORDS = 1_000_000  # cached per worker; a full cache is emptied, results stay the same
+MOST_WORDS = 100_000  # cached per worker; a full cache is emptied, results stay the same
 _codes: dict[bytes, bytes] = {}
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
