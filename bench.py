@@ -12,7 +12,8 @@ from lagledger.session import local_session
 HEADLINE = (
     "j4_nearest_join", "a1_epoch_summary", "j3_point_in_interval", "w3_runs", "w2_centered_median", "w17_offset_medians", "p6_frame_quality",
     "p9_closure_category", "t3_blind_shuffle", "j1_ledger_join", "w21_assemble_timeline", "a2_group_metrics", "g4_frame_spectrum", "j19_lag_correlation",
-    "c1_leak_scan_documents", "c3_target_tokens", "c4_template_match", "q1_cliffs_delta",
+    "c1_leak_scan_documents", "c3_target_tokens", "c4_template_match", "q1_cliffs_delta", "q2_bootstrap_full", "q3_permutation_full",
+    "w14_min_separation", "w15_cluster_events", "g12_estimate_release", "r3_track_objects",
 )
 
 
