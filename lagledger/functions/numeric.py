@@ -153,10 +153,13 @@ def timeline_duration(container_duration, stream_ends, origin) -> Column:
     )
 
 
-def scope_end(duration, requested) -> Column:
-    """Requested end if it lies in (0, duration + 1 µs]; default is the whole duration."""
+def scope_end(duration, requested, start=None, *, strict: bool = True) -> Column:
+    """Requested end if it lies in (0, duration + 1 µs] and after ``start``; default is the whole duration.
+
+    A bad end fails the query, or is NULL where ``strict`` is off.
+    """
     duration, requested = col(duration), col(requested)
     end = F.coalesce(requested, duration)
-    return F.when(
-        finite(end).isNotNull() & (end > 0) & (end <= duration + F.lit(1e-6)), F.least(end, duration)
-    )
+    good = finite(end).isNotNull() & (end > (F.lit(0.0) if start is None else F.greatest(F.lit(0.0), col(start)))) & (end <= duration + F.lit(1e-6))
+    bad = F.raise_error(F.lit("scope end outside the recording")).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(F.coalesce(good, F.lit(False)), F.least(end, duration)).otherwise(bad)

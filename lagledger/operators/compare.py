@@ -14,6 +14,7 @@ from lagledger.functions import text as tx
 from lagledger.functions.numeric import designated_relations, finite
 from lagledger.operators.quantiles import quantiles
 from lagledger.operators.rules import reasons
+from lagledger.session import broadcast_if_small
 
 # Registered clip metrics and their units.
 METRICS = {
@@ -54,11 +55,11 @@ def group_metrics(clips: DataFrame, group: str, metrics: Sequence[str]) -> DataF
 def designated_comparison(groups: DataFrame, designated: DataFrame, group: str) -> DataFrame:
     """One row per (metric, comparison group): the designated value beside the group's range.
 
-    ``designated`` has one row per metric (16 registered metrics), so it is
-    broadcast.
+    ``designated`` has one row per metric (16 registered metrics); it is
+    broadcast once its size has been seen.
     """
     d = designated.select("metric_id", F.col("value").alias("designated_value"))
-    joined = groups.join(F.broadcast(d), "metric_id")
+    joined = groups.join(broadcast_if_small(d), "metric_id")
     return joined.withColumns(designated_relations("min", "max", "median", "designated_value"))
 
 

@@ -135,12 +135,16 @@ def shape_rates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def absolute_lag_descriptives(events: DataFrame, lag: str = "lag_ms") -> tuple[DataFrame, DataFrame]:
-    """(per group: median over epochs of the epoch median |lag|, per speaker: signed and absolute median/MAD)."""
+    """(per group: median over epochs of the epoch median |lag|, counts and the groups' difference; per speaker: signed and absolute median/MAD)."""
     used = events.filter(F.col(lag).isNotNull()).withColumn("abs_lag_ms", F.abs(F.col(lag)))
     epochs = quantiles(used, EPOCH, "abs_lag_ms", {"epoch_abs_ms": 0.5})
     groups = quantiles(
         epochs, ["grp"], "epoch_abs_ms", {"median_epoch_abs_ms": 0.5}, extra=[F.count(F.lit(1)).alias("epochs")]
-    )
+    ).join(used.groupBy("grp").agg(F.count(F.lit(1)).alias("events")), "grp")
+    # Two rows at most carry the difference, so a scalar subquery holds it.
+    side = lambda g: F.max(F.when(F.col("grp") == g, F.col("median_epoch_abs_ms")))
+    difference = groups.agg((side("candidate") - side("control")).alias("d"))
+    groups = groups.withColumn("candidate_minus_control_ms", difference.scalar())
     signed = median_and_mad(used, ["speaker"], lag, median="median_ms", mad="mad_ms")
     absolute = median_and_mad(used, ["speaker"], "abs_lag_ms", median="median_abs_ms", mad="mad_abs_ms")
     return groups, signed.join(absolute, "speaker")

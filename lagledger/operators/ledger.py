@@ -71,9 +71,9 @@ def join_audit(ledger: DataFrame, annotations: DataFrame, key: str) -> DataFrame
 
 
 def token_join(tokens: DataFrame, manifest: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Exact join on a composite key; the manifest label overrides the interval label."""
+    """Exact join on a composite key; the manifest label overrides the interval label. A key twice in the manifest fails the query."""
     right = manifest.select(*keys, F.col(label).alias("_label"), F.lit(True).alias("_found"))
-    out = tokens.join(right, list(keys), "left")
+    out = require_none(duplicate_keys(manifest, keys), tokens.join(right, list(keys), "left"), "manifest key used twice")
     return (
         out.withColumn("label_source", F.when(F.col("_found") & F.col("_label").isNotNull(), "manifest").otherwise("interval"))
         .withColumn("manifest_reasons", reasons((F.col("_found").isNull(), "missing_from_manifest")))
@@ -82,6 +82,11 @@ def token_join(tokens: DataFrame, manifest: DataFrame, keys: Sequence[str], labe
     )
 
 
+def unused_manifest(tokens: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Manifest rows that no token has asked for."""
+    return manifest.join(tokens.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def unblind(reviews: DataFrame, key: DataFrame, ledger: DataFrame, blind: str, event: str) -> DataFrame:
     """Restore metadata; review ids and key ids must be the same set, key one-to-one."""
     joined = reviews.join(key, blind).join(ledger, event)

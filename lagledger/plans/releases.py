@@ -303,7 +303,7 @@ def accepted(spark, folder):
 def scope_ends(spark, folder):
     m = F.col("event_id") % 3
     asked = F.when(m == 1, F.lit(20.0)).when(m == 2, F.lit(-1.0))
-    return stream(spark, folder).select("event_id", scope_end("value", asked).alias("scope_end"))
+    return stream(spark, folder).select("event_id", scope_end("value", asked, strict=False).alias("scope_end"))
 
 
 @cat.query(
@@ -440,12 +440,13 @@ def epoch_rates(spark, folder):
 
 @cat.query(
     "a9_abs_lag_groups",
-    f"""WITH {LEDGER_SQL}, ea AS (SELECT speaker, grp, epoch_id, median(abs(lag_ms)) AS m FROM used GROUP BY ALL) SELECT grp, count(*) AS epochs, round(median(m), 3) AS median_epoch_abs_ms FROM ea GROUP BY 1""",
+    f"""WITH {LEDGER_SQL}, ea AS (SELECT speaker, grp, epoch_id, median(abs(lag_ms)) AS m FROM used GROUP BY ALL), g AS (SELECT grp, count(*) AS epochs, median(m) AS mm FROM ea GROUP BY 1), u AS (SELECT grp, count(*) AS events FROM used GROUP BY 1)
+SELECT grp, epochs, events, round(mm, 3) AS median_epoch_abs_ms, round((SELECT max(mm) FILTER (grp = 'candidate') - max(mm) FILTER (grp = 'control') FROM g), 3) AS candidate_minus_control_ms FROM g JOIN u USING (grp)""",
 )
 def abs_groups(spark, folder):
     used = cut_lineage(lag_ledger(spark, folder).filter("measurable"))
     groups, _ = ep.absolute_lag_descriptives(used)
-    return groups.select("grp", "epochs", F.round("median_epoch_abs_ms", 3).alias("median_epoch_abs_ms"))
+    return groups.select("grp", "epochs", "events", *[F.round(c, 3).alias(c) for c in ("median_epoch_abs_ms", "candidate_minus_control_ms")])
 
 
 @cat.query(

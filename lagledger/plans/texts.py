@@ -275,6 +275,18 @@ def token_join(spark, folder):
     return out.select("conv_id", "turn", "label", "label_source", F.concat_ws(",", "manifest_reasons").alias("reasons"))
 
 
+@cat.query(
+    "j2_unused_manifest",
+    """WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations) SELECT conv_id, turn + CASE WHEN n % 3 = 0 THEN 1000 ELSE 0 END AS turn, role FROM t
+WHERE n % 3 = 0 OR n % 2 = 0""",
+)
+def unused(spark, folder):
+    """A manifest of all turns, a third of them shifted, against the turns of odd length."""
+    t, n = turns(spark, folder).select("conv_id", "turn", "role", F.length("text").alias("n")), F.col("n")
+    manifest = t.select("conv_id", (F.col("turn") + F.when(n % 3 == 0, 1000).otherwise(0)).alias("turn"), "role")
+    return lg.unused_manifest(t.filter(n % 2 == 1), manifest, ["conv_id", "turn", "role"])
+
+
 @cat.query(
     "j18_resolve_group",
     """WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'candidate' END AS own, CASE WHEN turn % 2 = 0 THEN 'control' END AS iv FROM conversations), c AS (SELECT * FROM (VALUES ('user', 'candidate'), ('assistant', 'control')) v(role, cg))
