@@ -19,6 +19,7 @@ WORDS = 3  # per shingle
 PERCENT = 90  # 100 * intersection >= PERCENT * union
 ORDERS = 2
 BUCKETS = 1 << 18  # counters per order
+MOST_COUNT = (1 << 24) - 1  # counts above it are one class of the order, sorted by hash
 MOST_SENT = 4_000_000  # ids that may go to every executor; more are shuffled
 _LOW = -(1 << 63)
 
@@ -39,8 +40,11 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
             for k in range(1, length):
                 short = short * MULTIPLIER + codes[first + k]
             at, code = np.concatenate((at, few)), np.concatenate((code, scatter(short, length)))
-    order = np.lexsort((code, at))
-    at, code = at[order], code[order]
+        by_text = np.argsort(at, kind="stable")
+        at, code = at[by_text], code[by_text]
+    ends = np.searchsorted(at, np.arange(len(words) + 1)).tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        code[a:b].sort()
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
     return at[new], code[new]
@@ -89,9 +93,13 @@ def _profiles(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 lengths = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 for k in range(orders):
-                    rank = np.lexsort((scatter(code, orders + k), shared.value[k][_bucket(code, k)], at))
-                    inside = np.arange(len(at)) - ends[at]
-                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(code[rank][inside < lengths[at]].view(np.int64))))
+                    # rare first, then by a hash of 40 bits, then by code (a stable sort of codes in their order)
+                    key = np.minimum(shared.value[k][_bucket(code, k)], MOST_COUNT).astype(np.uint64) << np.uint64(40)
+                    key |= scatter(code, orders + k) >> np.uint64(24)
+                    first = np.zeros(int(bounds[-1]), np.uint64)
+                    for d, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                        first[bounds[d] : bounds[d + 1]] = code[a:b][np.argsort(key[a:b], kind="stable")[: lengths[d]]]
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", *[f"prefix{k}" for k in range(orders)]])
 
     return docs.mapInArrow(run, "id long, n long, digest binary, " + ", ".join(f"prefix{k} array<long>" for k in range(orders)))
@@ -109,24 +117,43 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, codes array<long>")
 
 
-def _filtered(pairs: DataFrame, profiles: DataFrame, orders: int) -> DataFrame:
-    """Of candidate pairs under the first order (a, b), those whose prefixes meet under every other order too."""
-    if orders < 2:
-        return pairs
-    columns = [f"prefix{k}" for k in range(1, orders)]
-    left = profiles.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = profiles.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    both = pairs.join(left, "a").join(right, "b")
+def _prefix(n: str, percent: int) -> str:
+    """How many of n tokens the prefix has (SQL)."""
+    return f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+
+
+def _overlap(a: str, b: str, percent: int) -> str:
+    """How many tokens similar sets of sizes a and b share at least (SQL)."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
+
+def _least_shared(a: str, b: str, percent: int) -> str:
+    """How many tokens the prefixes of similar sets of sizes a and b share under any global order, at least (SQL).
+
+    Similar sets share s = ceil(percent * (a + b) / (100 + percent)) tokens. Before the k-th shared token lie at most a - s
+    others in one set and b - s in the other, so prefixes of a - s + k and b - s + k tokens hold k shared ones.
+    """
+    return f"(least({_prefix(a, percent)} - {a}, {_prefix(b, percent)} - {b}) + {_overlap(a, b, percent)})"
+
+
+def _filtered(pairs: DataFrame, profiles: DataFrame, orders: list[int], percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those whose prefixes share enough tokens under every one of the given orders."""
+    if not orders:
+        return pairs.select("a", "b")
+    columns = [f"prefix{k}" for k in orders]
+    left = profiles.select(F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = profiles.select(F.col("id").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_sizes_allow("n_a", "n_b", percent))
     for c in columns:
-        both = both.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+        both = both.filter(F.size(F.array_intersect(f"a_{c}", f"b_{c}")) >= F.expr(_least_shared("n_a", "n_b", percent)))
     return both.select("a", "b")
 
 
-def _verified(pairs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, base: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """Pairs whose whole sets are similar enough. Sets are made again, from whole texts, for documents in a pair only."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(base.join(broadcast_if_small(ids, MOST_SENT), "id", "left_semi"), width).dropDuplicates(["id"])
-    sets = staged(sets, "sets")
+    sets = _sets(base.join(broadcast_if_small(ids, MOST_SENT), "id", "left_semi"), width)
+    sets = staged(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("codes").alias("a_codes")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("codes").alias("b_codes")), "b"
     )
@@ -151,12 +178,14 @@ def near_copies(
        first, then by its own hash.
     2. Rows with equal sets form a class (combined before the shuffle); its smallest id takes part from here on.
     3. Similar sets share a token among their first n - ceil(n * percent / 100) + 1 tokens under every order. Tokens of
-       the first order that one class alone has are dropped. Within a token and a band of sizes each class is paired with
-       the smallest one only; pairs that pass the other orders' prefixes are verified on whole sets; links make components.
-    4. All pairs of different components that share a token under the first order and pass the same filters and check
-       follow, by size. Pairs inside one component cannot change a result and are never formed.
+       the first order that one class alone has are dropped. Within a token and a band of sizes each class meets the one
+       with the most common tokens, and is paired with the one it meets most often; pairs whose prefixes share enough
+       tokens under every order (:func:`_least_shared`) are verified on whole sets; links make components.
+    4. All pairs of different components follow that share a token under the first order with enough of either set left
+       behind it, and pass the same filters and check. Pairs inside one component cannot change a result and are never
+       formed.
 
-    So a group of n copies costs about n pairs, and no link between different components is lost.
+    So a group of n near copies costs about n pairs, and no link between different components is lost.
 
     Edge cases: a text without words has an empty set and no link; rows that repeat an id must have one text, and get one
     row each; a null id is left out of links with others but has its own row; other columns are ignored. Shingle codes
@@ -166,31 +195,44 @@ def near_copies(
     profiles = staged(_profiles(base, _counts(base, width, orders), width, percent), "profiles")
     classes = profiles.filter(f"n > 0 AND id != {_LOW}").groupBy("digest").agg(F.min("id").alias("class"))
     classes = staged(classes, "classes")
-    heads = profiles.join(classes, (profiles["id"] == classes["class"]) & (profiles["digest"] == classes["digest"]), "left_semi").dropDuplicates(["id"])
-    heads = staged(heads, "heads")
+    others = profiles.select("id", "digest").join(classes, "digest").filter(f"id > class OR id = {_LOW}").select("id")
+    heads = profiles.filter("n > 0").join(broadcast_if_small(staged(others.distinct(), "copies"), MOST_SENT), "id", "left_anti")
+    repeated = not heads.groupBy("id").count().filter("count > 1").isEmpty()
+    heads = heads.dropDuplicates(["id"]) if repeated else heads
 
-    tokens = heads.select("id", "n", F.explode("prefix0").alias("token"))
+    # What is left of the set from a token on: the first shared token of a pair has at least the pair's overlap left.
+    tokens = heads.select("id", "n", F.posexplode("prefix0").alias("place", "token")).withColumn("left", F.col("n") - F.col("place")).drop("place")
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
+    common = staged(common, "common")  # a table of its own, so that AQE can split the join of a hot token
     shared = staged(tokens.join(common, "token", "left_semi"), "shared")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).alias("band")
     banded = shared.select("id", "n", "token", band)
-    stars = banded.groupBy("token", "band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    pairs = banded.join(stars, ["token", "band"]).filter("id > a").select("a", F.col("id").alias("b")).distinct()
-    first = staged(_verified(staged(_filtered(pairs, heads, orders), "stars"), base, width, percent), "links")
+    # A text that others were copied from shares more of its prefix than they do: it makes the better centre.
+    known = shared.groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+    centre = F.max(F.struct("known", (-F.col("id")).alias("id")))
+    stars = banded.join(known, "id").groupBy("token", "band").agg(centre.alias("c"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    stars = stars.select("token", "band", (-F.col("c.id")).alias("a"))
+    met = banded.join(stars, ["token", "band"]).filter("id != a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("tokens"))
+    pairs = met.groupBy("id").agg(F.max_by("a", F.struct("tokens", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
+    first = staged(_verified(staged(_filtered(pairs, heads, list(range(orders)), percent), "stars"), base, width, percent, repeated), "links")
 
     roots = components(first)
-    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", "token", F.coalesce("root", "id").alias("comp"))
+    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", "token", "left", F.coalesce("root", "id").alias("comp"))
     labelled = staged(labelled, "labelled")
-    groups = labelled.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = labelled.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"))
     several = groups.groupBy("token").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token")
     groups = staged(groups.join(several, "token", "left_semi"), "groups")
-    other = groups.select("token", F.col("comp").alias("comp_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    meet = groups.join(other, "token").filter(f"comp < comp_b AND 100 * high >= {percent} * low_b AND 100 * high_b >= {percent} * low")
-    meet = meet.select("token", "comp", "comp_b")
-    one = meet.join(labelled, ["token", "comp"]).select("token", "comp_b", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    two = labelled.select("token", F.col("comp").alias("comp_b"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    pairs = one.join(two, ["token", "comp_b"]).filter(_sizes_allow("n_a", "n_b", percent)).select("a", "b").distinct()
-    second = _verified(staged(_filtered(pairs, heads, orders), "between"), base, width, percent)
+    other = groups.select("token", F.col("comp").alias("comp_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("left").alias("left_b"))
+    meet = groups.join(other, "token").filter(
+        f"comp < comp_b AND 100 * high >= {percent} * low_b AND 100 * high_b >= {percent} * low AND least(left, left_b) >= {_overlap('low', 'low_b', percent)}"
+    )
+    meet = meet.select("token", "comp", "comp_b", "low_b")
+    one = meet.join(labelled.withColumnRenamed("left", "left_a").withColumnRenamed("n", "n_a"), ["token", "comp"]).filter(f"left_a >= {_overlap('n_a', 'low_b', percent)}")
+    one = one.select("token", "comp_b", F.col("id").alias("a"), "n_a", "left_a")
+    two = labelled.select("token", F.col("comp").alias("comp_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    pairs = one.join(two, ["token", "comp_b"]).filter(f"{_sizes_allow('n_a', 'n_b', percent)} AND least(left_a, left_b) >= {_overlap('n_a', 'n_b', percent)}")
+    pairs = pairs.select("a", "b").distinct()
+    second = _verified(staged(_filtered(pairs, heads, list(range(orders)), percent), "between"), base, width, percent, repeated)
 
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second))
     found = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", F.coalesce("root", "class").alias("comp"))
