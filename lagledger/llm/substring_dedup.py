@@ -141,6 +141,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 
     anchors = rest.select("id", "digest", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor")
+    repeated = staged(repeated, "repeated")  # a table of its own, so that AQE can split the join of a hot anchor
     found = anchors.select("id", "anchor").join(repeated, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("known"))
     found = staged(found, "found")
     texts = base.join(broadcast_if_small(found.select("id"), MOST_SENT), "id", "left_semi").join(found, "id").select("id", "text", "known")
@@ -148,7 +149,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 
     once = windows.filter("NOT again")
     earliest = once.groupBy("one", "two").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    later = once.join(earliest, ["one", "two"]).filter("id > first").select("id", "start")
+    later = once.join(staged(earliest, "earliest"), ["one", "two"]).filter("id > first").select("id", "start")
     starts = later.unionByName(windows.filter("again").select("id", "start")).groupBy("id").agg(F.collect_set("start").alias("starts"))
     starts = staged(starts, "starts")
     cut = base.join(broadcast_if_small(starts.select("id"), MOST_SENT), "id", "left_semi").join(starts, "id").select("id", "text", "starts")
