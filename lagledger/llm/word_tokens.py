@@ -34,7 +34,8 @@ class WordTokens:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.word_end)]] = True
-        self.special = [t["content"][:2] for t in spec["added_tokens"]]
+        special = {regex.escape(t["content"][:2]) for t in spec["added_tokens"]}
+        self.odd = regex.compile("|".join(["[^\x00-\xff]", *sorted(special)]))
         self.tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -53,11 +54,16 @@ class WordTokens:
 
     def _learn(self, words: set[str]) -> None:
         cut, whole = {}, []
+        odd, findall = self.odd.search, self.pattern.findall
         for w in words:
-            if (w.isascii() or max(w) < "Ā") and not any(s in w for s in self.special):
-                cut[w] = self.pattern.findall(w.lower())
-            else:
+            if odd(w):
                 whole.append(w)
+            elif w.isalpha():  # one piece
+                cut[w] = (w.lower(),)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                cut[w] = (w[:-1].lower(), w[-1])
+            else:
+                cut[w] = findall(w.lower())
         new = {p for ps in cut.values() for p in ps if p not in self.pieces}
         if len(self.pieces) + len(new) > MOST_WORDS:
             self.pieces.clear()
