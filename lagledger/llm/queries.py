@@ -108,8 +108,8 @@ def language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_substring_dedup",
     r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20),
-v AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s + 1 : s + 20], ' ') ORDER BY doc_id, s) AS r FROM p),
+p AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 19), lambda i: {'s': i, 'k': array_to_string(ws[i + 1 : i + 20], ' ')})) AS z FROM w WHERE len(ws) >= 20),
+v AS (SELECT doc_id, z.s AS s, row_number() OVER (PARTITION BY z.k ORDER BY doc_id, z.s) AS r FROM p),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM v WHERE r > 1),
 words AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS x FROM w),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
