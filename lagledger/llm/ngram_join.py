@@ -151,7 +151,7 @@ def _filtered(pairs: DataFrame, profiles: DataFrame, orders: list[int], percent:
 
 def _verified(pairs: DataFrame, base: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """Pairs whose whole sets are similar enough. Sets are made again, from whole texts, for documents in a pair only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
     sets = _sets(base.join(broadcast_if_small(ids, MOST_SENT), "id", "left_semi"), width)
     sets = staged(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("codes").alias("a_codes")), "a").join(
