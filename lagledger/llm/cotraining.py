@@ -74,11 +74,11 @@ class Rows:
     @staticmethod
     def of(buckets: list[bytes], counts: list[bytes], meta: list[bytes]) -> Rows:
         ends = np.cumsum([0, *[len(c) for c in counts]])
-        value = np.log1p(np.frombuffer(b"".join(counts), np.uint8).astype(np.float64))
+        value = np.log1p(np.frombuffer(b"".join(counts), np.uint8).astype(np.float32))
         norm = np.sqrt(np.add.reduceat(np.append(value**2, 0), ends[:-1]) * (np.diff(ends) > 0)) if len(counts) else np.zeros(0)
-        value = value / np.repeat(np.maximum(norm, 1e-9), np.diff(ends))
+        value = value / np.repeat(np.maximum(norm, 1e-9), np.diff(ends)).astype(np.float32)
         dense = np.frombuffer(b"".join(meta), np.float32).reshape(len(meta), -1).astype(np.float64) if meta else np.zeros((0, _SHAPE + 2 * NAMES))
-        return Rows(ends, np.frombuffer(b"".join(buckets), np.uint16).astype(np.int64), value, dense)
+        return Rows(ends, np.frombuffer(b"".join(buckets), np.uint16), value, dense)
 
     def text_score(self, w: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(w[self.bucket] * self.value)))
