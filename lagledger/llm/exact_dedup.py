@@ -57,14 +57,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns; of rows that repeat an id and a text, one.
 
-    Only ids go against the rows. They are sent to the texts where they are few, and meet them in a shuffle otherwise.
+    An id without a kept row goes as a whole, so only ids go against the rows. They are sent to the texts where they are
+    few, and meet them in a shuffle otherwise. Rows of an id with several rows, one of them kept, go by id and digest;
+    null counts as an id there.
     """
-    groups = cut_lineage(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "kept", "text_sha256"))
-    gone = groups.filter("NOT kept").select("__id").distinct()
-    rows = docs.join(broadcast_if_small(gone, MOST_SENT), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
-    twice = groups.filter("kept").groupBy("__id", "text_sha256").count().filter("count > 1").select("__id").distinct()
-    twice = cut_lineage(twice)
-    if twice.isEmpty():
-        return rows
+    groups = cut_lineage(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "kept", F.col("text_sha256").alias("__sha")))
+    fates = groups.groupBy("__id").agg(F.max("kept").alias("__some"), F.count(F.lit(1)).alias("__rows")).filter("NOT __some OR __rows > 1")
+    fates = cut_lineage(fates)
     same = docs[id_col].eqNullSafe(F.col("__id"))
-    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    rows = docs.join(broadcast_if_small(fates.filter("NOT __some").select("__id"), MOST_SENT), same, "left_anti")
+    several = fates.filter("__some").select("__id")
+    if several.isEmpty():
+        return rows
+    several = broadcast_if_small(several, MOST_SENT)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    mixed = rows.join(several, same, "left_semi").withColumn("__text", text).withColumn("__digest", F.sha2("__text", 256))
+    known = several.withColumnRenamed("__id", "__several")
+    pairs = groups.join(known, F.col("__id").eqNullSafe(F.col("__several")), "left_semi").groupBy("__id", "__sha")
+    pairs = cut_lineage(pairs.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).filter("NOT __kept OR __rows > 1"))
+    both = same & (F.col("__digest") == F.col("__sha"))
+    mixed = mixed.join(pairs.filter("NOT __kept"), both, "left_anti")
+    twice = pairs.filter("__kept")
+    once = mixed.join(twice, both, "left_anti").unionByName(mixed.join(twice, both, "left_semi").dropDuplicates([id_col, "__text"]))
+    return rows.join(several, same, "left_anti").unionByName(once.drop("__text", "__digest"))

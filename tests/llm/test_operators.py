@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagledger.llm import mixing, packing, secret_spans, substring_dedup
+from lagledger.llm import exact_dedup, mixing, packing, secret_spans, substring_dedup
 from lagledger.llm.ball_tree import BallTree, top_products
 from lagledger.llm.components import components
 from lagledger.llm.cotraining import score_quality
@@ -49,6 +49,15 @@ def test_drop_copies_keeps_one_row_of_each_text(docs, none, plain):
     assert drop_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("sent", [exact_dedup.MOST_SENT, 0])
+def test_drop_copies_of_ids_that_are_null_or_have_several_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(exact_dedup, "MOST_SENT", sent)
+    rows = [(None, "a"), (1, "a"), (None, "b"), (None, "c"), (None, "c"), (2, "d"), (3, "d"), (2, "e"), (2, "e"), (2, None), (2, ""), (4, "f"), (5, "f"), (4, "g"), (5, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"] or "") for r in drop_copies(df).collect())
+    assert got == Counter([(1, "a"), (None, "b"), (None, "c"), (3, "d"), (2, "e"), (2, ""), (5, "f"), (5, "g")])
+
+
 # --- sharding
 
 
