@@ -195,8 +195,8 @@ def near_copies(
     profiles = staged(_profiles(base, _counts(base, width, orders), width, percent), "profiles")
     classes = profiles.filter(f"n > 0 AND id != {_LOW}").groupBy("digest").agg(F.min("id").alias("class"))
     classes = staged(classes, "classes")
-    others = profiles.select("id", "digest").join(classes, "digest").filter(f"id > class OR id = {_LOW}").select("id")
-    heads = profiles.filter("n > 0").join(broadcast_if_small(staged(others.distinct(), "copies"), MOST_SENT), "id", "left_anti")
+    others = profiles.select("id", "digest").join(classes, "digest").filter("id > class").select("id")
+    heads = profiles.filter(f"n > 0 AND id != {_LOW}").join(broadcast_if_small(staged(others.distinct(), "copies"), MOST_SENT), "id", "left_anti")
     repeated = not heads.groupBy("id").count().filter("count > 1").isEmpty()
     heads = heads.dropDuplicates(["id"]) if repeated else heads
 
@@ -246,6 +246,23 @@ def near_copies(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all their columns."""
+    """The rows of ``docs`` that are the smallest id of their component, with all their columns.
+
+    Where ids repeat, each row is compared by its own text, and the smallest (id, digest of the text) of a component stays.
+    """
+    ids = docs.select(F.col(id_col).alias("__id"))
+    if not ids.filter("__id IS NOT NULL").groupBy("__id").count().filter("count > 1").isEmpty():
+        return _drop_by_row(docs, id_col, text_col, **options)
     gone = near_copies(docs, id_col=id_col, text_col=text_col, **options).filter(f"{id_col} != component_id").select(F.col(id_col).alias("__gone"))
     return docs.join(broadcast_if_small(staged(gone.distinct(), "gone"), MOST_SENT), docs[id_col] == F.col("__gone"), "left_anti")
+
+
+def _drop_by_row(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """Numbers the rows, so that an id may have several texts. A null id has no number and so links nothing."""
+    rows = staged(docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "numbered")
+    found = near_copies(rows, id_col="__row", text_col=text_col, **options).filter("__row IS NOT NULL")
+    names = rows.select("__row", F.struct(F.col(id_col).alias("id"), F.sha2(text_of(text_col), 256).alias("digest")).alias("__name"))
+    named = staged(found.select("__row", "component_id").join(names, "__row"), "named")
+    best = named.groupBy("component_id").agg(F.min("__name").alias("__best"))
+    gone = named.join(best, "component_id").filter("__name != __best").select(F.col("__row").alias("__gone"))
+    return rows.join(broadcast_if_small(staged(gone, "gone"), MOST_SENT), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -285,6 +285,36 @@ def test_near_copies_of_a_family_that_no_star_joins(spark):
     assert got == want
 
 
+def near_rows() -> list[tuple]:
+    """A and b are linked through m only; m and another near copy have no id. Ids 5 and 6 have two texts each."""
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([f"x{j}" for j in range(k)] + words[k:]) for k in (0, 14, 28)]
+    other, third = ([f"{c}{k}" for k in range(200)] for c in "yz")
+    near = [" ".join([*w[:100], "new", *w[101:]]) for w in (other, third)]
+    return [
+        (8, texts[0]), (None, texts[1]), (None, " ".join(["v", *words[1:]])), (9, texts[2]), (None, "q r s t"),
+        (5, " ".join(other)), (5, "a b c d e"), (6, near[0]), (6, " ".join(third)), (7, near[1]), (7, "f g h i j"), (4, None),
+    ]
+
+
+def test_a_null_id_that_is_a_near_copy_links_nothing(spark):
+    rows = [r for r in near_rows() if r[0] in (None, 8, 9, 4)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(8, 8), (9, 9), (4, 4), (None, None), (None, None), (None, None)])
+
+
+def test_drop_near_copies_of_null_ids_and_ids_with_several_texts(spark):
+    rows = near_rows()
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = {k: r[1] or "" for k, r in enumerate(rows) if r[0] is not None}
+    root = {k: c for k, (_, c) in brute_components(list(own.items())).items()}
+    name = {k: (rows[k][0], hashlib.sha256(own[k].encode()).hexdigest()) for k in own}
+    best = {c: min(name[k] for k in own if root[k] == c) for c in root.values()}
+    want = Counter(r for k, r in enumerate(rows) if k not in own or name[k] == best[root[k]])
+    assert set(rows) - set(want) == {rows[7], rows[9]}
+    assert Counter(map(tuple, kept.collect())) == want
+
+
 def test_drop_near_copies_keeps_the_smallest(docs, none, plain):
     want = brute_components(plain)
     kept = drop_near_copies(docs)
