@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagledger.llm.ball_tree import top_products
 from lagledger.llm.common import table
 from lagledger.llm.cotraining import score_quality
 from lagledger.llm.exact_dedup import exact_groups
+from lagledger.llm.hard_negatives import hard_negatives
 from lagledger.llm.interleave import interleaved_shards
 from lagledger.llm.language_id import identify
 from lagledger.llm.mixing import mix
@@ -15,6 +17,8 @@ from lagledger.llm.ngram_join import near_copies
 from lagledger.llm.packing import pack
 from lagledger.llm.secret_spans import ALLOWED, BASE, CANDIDATE, CLASSES, SCALE, WINDOW, most_weight, secret_spans
 from lagledger.llm.substring_dedup import remove_repeats
+from lagledger.llm.suffix_dedup import remove_repeated_bytes
+from lagledger.llm.va_clusters import CLUSTERS, ROUNDS, centroid_clusters
 from lagledger.plans.catalogue import Catalogue
 
 cat = Catalogue()
@@ -189,6 +193,69 @@ def ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+@cat.query(
+    "op11_lemp_hard_negatives",
+    """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a JOIN v c ON c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+)
+def lemp_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
+def _clusters_sql() -> str:
+    """The rounds one after the other; a distance is x.x - 2 x.c + c.c."""
+    steps = []
+    for turn in range(ROUNDS + 1):
+        steps.append(f"""a{turn} AS MATERIALIZED (SELECT row, min({{'d': xx - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e), 'k': k}}) AS z
+  FROM v, c{turn} c GROUP BY row)""")
+        if turn < ROUNDS:
+            steps.append(f"""m{turn} AS (SELECT k, i, floor(sum(x) / count(*)) AS m FROM (SELECT z.k AS k, unnest(e) AS x, generate_subscripts(e, 1) AS i
+  FROM a{turn} JOIN v USING (row)) GROUP BY k, i),
+c{turn + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.e, c.e) AS e FROM c{turn} c LEFT JOIN (SELECT k, list(m ORDER BY i) AS e FROM m{turn} GROUP BY k) n USING (k))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT *, list_inner_product(e, e) AS xx, row_number() OVER () AS row FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, e FROM v ORDER BY h, e LIMIT {CLUSTERS})),
+{', '.join(steps)}
+SELECT vec_id, z.k::INT AS cluster, z.d::BIGINT AS distance, (sum(z.d) OVER (PARTITION BY z.k))::BIGINT AS cluster_inertia, (sum(z.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN v USING (row) JOIN c{ROUNDS} c ON c.k = z.k"""
+
+
+@cat.query("op12_va_file_clusters", _clusters_sql())
+def va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@cat.query(
+    "op13_difference_cover_dedup",
+    """
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT row, c, substr(h, (2 * c + 1)::BIGINT, 598) AS p FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 199, 100)) AS c FROM t)),
+w AS (SELECT row, c, p, unnest(range(0, length(p) // 2 - 199)) AS o FROM c),
+k AS (SELECT row, c + o AS s, count(*) OVER (PARTITION BY md5(substr(p, (2 * o + 1)::BIGINT, 400))) AS n FROM w),
+r AS (SELECT row, s, s > 200 + lag(s, 1, -1000) OVER (PARTITION BY row ORDER BY s) AS fresh FROM k WHERE n > 1),
+g AS (SELECT row, s, sum(fresh::INT) OVER (PARTITION BY row ORDER BY s) AS g FROM r),
+runs AS (SELECT row, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY row, g),
+gone AS (SELECT row, sum(b - a) AS removed, count(*) AS spans, list({'a': a, 'b': b} ORDER BY a) AS cut FROM runs GROUP BY row)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN cut IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(cut) + 1), lambda i:
+    substr(h, 2 * CASE WHEN i = 0 THEN 0 ELSE cut[i].b END + 1, 2 * (CASE WHEN i = len(cut) THEN length(h) // 2 ELSE cut[i + 1].a END - CASE WHEN i = 0 THEN 0 ELSE cut[i].b END))), '') END)) AS kept_sha256
+FROM t LEFT JOIN gone USING (row)""",
+)
+def difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir)).drop("removed")
+
+
 @cat.query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # it imports this module
