@@ -57,6 +57,14 @@ def running(df: DataFrame, keys: list[str], cell: str, order: list[str], amounts
     return out.drop(*[f"__{p}_{n}" for n in names for p in ("amount", "from")])
 
 
+def modest_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts go to Python at most ``rows`` at a time: each worker, and the buffers of its task, hold one such batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name, "10000"))
+    if held <= 0 or held > rows:
+        spark.conf.set(name, rows)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the folder that all executors share and reads it back: columnar, prunable, survives lost executors."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagledger.llm.common import draw, staged, text_of
+from lagledger.llm.common import draw, modest_batches, staged, text_of
 from lagledger.session import broadcast_if_small
 
 ORDERS = (3, 4)
@@ -148,6 +148,7 @@ def fit(
     Only the chosen ids, at most ``fit_rows`` a language, go to the texts. N-grams are counted in Spark and the
     ``n_grams`` most frequent of each language and order come back.
     """
+    modest_batches(labelled.sparkSession)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     order = Window.partitionBy("lang").orderBy("draw", "id")
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), draw("fit", F.col(id_col)).alias("draw"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagledger.llm.common import staged, text_of
+from lagledger.llm.common import modest_batches, staged, text_of
 from lagledger.llm.components import components
 from lagledger.llm.word_codes import MULTIPLIER, owners, scatter, split, window_codes, word_codes
 from lagledger.session import broadcast_if_small
@@ -191,6 +191,7 @@ def near_copies(
     row each; a null id is left out of links with others but has its own row; other columns are ignored. Shingle codes
     have 64 bits: inside a pair of documents equal codes are taken for equal shingles.
     """
+    modest_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("id"), text_of(text_col).alias("text"))
     profiles = staged(_profiles(base, _counts(base, width, orders), width, percent), "profiles")
     classes = profiles.filter(f"n > 0 AND id != {_LOW}").groupBy("digest").agg(F.min("id").alias("class"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagledger.llm.common import staged, text_of
+from lagledger.llm.common import modest_batches, staged, text_of
 from lagledger.llm.word_tokens import word_tokens
 
 TIERS = (512, 1024, 2048, 4096)
@@ -138,6 +138,7 @@ def pack(
     Edge cases: a null or empty text is its end id alone; no rows give none; rows that repeat an id are packed each;
     any length is taken; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     names = ("start", "length", "crc", "tokens", "sequence", "offset", "context", "step")
     schema = T.StructType([T.StructField("id", kind), *[T.StructField(n, T.LongType()) for n in names], T.StructField("ids", T.BinaryType())])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagledger.llm.common import staged
+from lagledger.llm.common import modest_batches, staged
 from lagledger.llm.suffix_order import repeated_starts
 from lagledger.session import broadcast_if_small
 
@@ -228,6 +228,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     run of a letter) goes; bytes are never decoded, so a cut may fall inside a character; other columns are ignored.
     Anchors of long texts are computed in parts of PIECE windows; the bytes of one document are held by a task at a time.
     """
+    modest_batches(docs.sparkSession)
     low = F.lit(-(1 << 63))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     scan = staged(base.mapInArrow(partial(_scan, width=width, gram=gram), "id long, n long, digest binary, anchors array<long>"), "anchors")
