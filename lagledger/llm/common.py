@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,39 @@ def modest_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, rows)
 
 
+_CACHES: dict[str, Callable[[], object]] = {}
+
+
+def cached(name: str, drop: Callable[[], object]) -> None:
+    """Announces what a worker keeps between tasks for the kernels called ``name``, and how to drop it."""
+    _CACHES[name] = drop
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel`` for mapInArrow in a worker that other kernels use too: their caches go first, freed memory goes back at the end.
+
+    Spark keeps Python workers from stage to stage; without this each holds what every kernel so far has kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, drop in _CACHES.items():
+            if name != keeps:
+                drop()
+        _give_back()
+        yield from kernel(batches)
+        _give_back()
+
+    return run
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the folder that all executors share and reads it back: columnar, prunable, survives lost executors."""
     spark = df.sparkSession

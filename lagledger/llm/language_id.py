@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagledger.llm.common import draw, modest_batches, staged, text_of
+from lagledger.llm.common import cached, draw, lean, modest_batches, staged, text_of
 from lagledger.session import broadcast_if_small
 
 ORDERS = (3, 4)
@@ -38,6 +38,9 @@ def _letters() -> np.ndarray:
     return table
 
 
+cached("letters", _letters.cache_clear)
+
+
 def segments(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, letter) arrays of about SEGMENT characters: each text in lower case, every run of other characters one space."""
     rows: list[int] = []
@@ -170,7 +173,7 @@ def fit(
                             "gram": gram.view(np.int64), "n": n.astype(np.int64),
                         })
 
-    counts = texts.mapInArrow(count, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(count, "letters"), "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= n_grams).select("lang", "ord", "gram").toPandas()
     languages = sorted(set(best["lang"]))
@@ -198,7 +201,7 @@ def predict_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "d
                 lang, score = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(lean(run, "letters"), schema)
 
 
 def _labelled(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagledger.llm.common import modest_batches, staged, text_of
+from lagledger.llm.common import lean, modest_batches, staged, text_of
 from lagledger.llm.components import components
 from lagledger.llm.word_codes import MULTIPLIER, owners, scatter, split, window_codes, word_codes
 from lagledger.session import broadcast_if_small
@@ -68,7 +68,7 @@ def _counts(docs: DataFrame, width: int, orders: int) -> np.ndarray:
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["bucket", "n"])
 
-    rows = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(lean(run, "words"), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(orders * BUCKETS, np.int64)
     got = rows.toArrow()  # at most orders * BUCKETS numbers
     total[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -102,7 +102,7 @@ def _profiles(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", *[f"prefix{k}" for k in range(orders)]])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, " + ", ".join(f"prefix{k} array<long>" for k in range(orders)))
+    return docs.mapInArrow(lean(run, "words"), "id long, n long, digest binary, " + ", ".join(f"prefix{k} array<long>" for k in range(orders)))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.searchsorted(at, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(code.view(np.int64)))], names=["id", "codes"])
 
-    return docs.mapInArrow(run, "id long, codes array<long>")
+    return docs.mapInArrow(lean(run, "words"), "id long, codes array<long>")
 
 
 def _prefix(n: str, percent: int) -> str:

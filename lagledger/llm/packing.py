@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagledger.llm.common import modest_batches, staged, text_of
+from lagledger.llm.common import lean, modest_batches, staged, text_of
 from lagledger.llm.word_tokens import word_tokens
 
 TIERS = (512, 1024, 2048, 4096)
@@ -170,7 +170,7 @@ def pack(
         if packer:
             yield from packer.flush(True)
 
-    pieces = staged(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(first, schema), "pieces")
+    pieces = staged(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(lean(first, "tokens"), schema), "pieces")
     group = F.expr(f"shiftright(sequence, 32) div {GROUP}").alias("group")
     rest = pieces.filter("ids IS NOT NULL").select(group, "id", "start", "ids", "tokens", "sequence", "offset")
     rest = rest.repartition("group").sortWithinPartitions("group", "sequence", "offset", "id", "start").mapInArrow(second, schema)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from lagledger.llm.common import cached
+
 MOST_WORDS = 100_000  # cached per worker; a full cache is emptied, results stay the same
 _codes: dict[bytes, bytes] = {}
+cached("words", _codes.clear)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
