@@ -10,7 +10,7 @@ import regex
 
 from lagledger.llm.common import cached
 
-MOST_WORDS = 400_000  # held per worker in each of two generations; results stay the same
+MOST_WORDS = 300_000  # held per worker in each of two generations; results stay the same
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(r"[ \t\n\r\x0b\x0c]+")
 
