@@ -13,7 +13,7 @@ from lagledger.plans.catalogue import Catalogue
 from lagledger.plans.standins import CLIPS_SQL, DAY_US, E_SQL, HOUR_US, Slicing, clips, stream, table
 from lagledger.session import shared_folder
 from lagledger.sources import readers, sinks
-from lagledger.streaming import bins, gaps, tracking
+from lagledger.streaming import bins, gaps, resume, tracking
 
 cat = Catalogue()
 
@@ -130,6 +130,53 @@ def streamed_bins(spark, folder):
     return back.select("user_id", "bin_start_us", F.round("energy_sum", 4).alias("energy_sum"), "sample_count")
 
 
+def doubled_or_poisoned():
+    """The work per event: twice the value; an event whose id is a multiple of 97 cannot be processed."""
+    import pandas as pd
+
+    def process(frame):
+        if (frame["event_id"] % 97 == 0).any():
+            raise ValueError("poisoned event")
+        return pd.DataFrame({"event_id": frame["event_id"], "doubled": frame["value"] * 2})
+
+    return process
+
+
+@cat.query(
+    "r4_resume_stream",
+    """SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'processing_error' ELSE 'done' END AS status, CASE WHEN event_id % 97 <> 0 THEN round(value * 2, 4) END AS doubled,
+ CASE WHEN event_id % 97 = 0 THEN 'ValueError: poisoned event' END AS error, 1::BIGINT AS attempts, true AS other_refused, event_id % 2 = 1 AS after_restart FROM events""",
+)
+def resumed_stream(spark, folder):
+    """A file stream that ends after the even events and goes on, from its checkpoint, with the odd ones and repeats of every tenth.
+
+    Then another configuration asks for the same folder and is refused.
+    """
+    inbox, out, checkpoint = (fresh(spark, n) for n in ("inbox", "results", "resume-checkpoint"))
+    e = table(spark, folder, "events").select("event_id", "value")
+    made = e.select("event_id", F.col("value").alias("doubled")).schema
+
+    def run(fingerprint):
+        live = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(inbox)
+        return resume.resume_stream(live, "event_id", out, checkpoint, fingerprint, doubled_or_poisoned(), made)[1]
+
+    e.filter("event_id % 2 = 0").write.parquet(inbox)
+    before = run("first")
+    last = before.agg(F.max("batch_id")).first()[0]
+    e.filter("event_id % 2 = 1 OR event_id % 10 = 0").write.mode("append").parquet(inbox)
+    results = run("first")
+    try:
+        run("second")
+        refused = False
+    except resume.ConfigurationMismatch:
+        refused = True
+    attempts = results.groupBy("event_id").agg(
+        F.max("status").alias("status"), F.round(F.max("doubled"), 4).alias("doubled"), F.max("error").alias("error"), F.count(F.lit(1)).alias("attempts"),
+        F.max("batch_id").alias("_batch"),
+    )
+    return attempts.withColumn("other_refused", F.lit(refused)).withColumn("after_restart", F.col("_batch") > F.lit(-1 if last is None else last)).drop("_batch")
+
+
 @cat.query(
     "r2_stream_gaps",
     f"""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch_us(ts) - CASE WHEN event_id % 13 = 0 THEN {30 * HOUR_US} ELSE 0 END END AS s,
