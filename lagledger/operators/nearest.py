@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagledger.operators.scan import CELL, PART, Slicing, slice_rows
+from lagledger.operators.scan import CELL, PART, Slicing, plain_keys, slice_rows
 
 
 def nearest_join(
@@ -28,7 +28,7 @@ def nearest_join(
     Ties go to the earlier row, equal times to the smaller ``tie``. The match
     is a struct column ``out`` (NULL where nothing qualifies). Both inputs are
     merged into one ordered stream, so work is linear in rows and no pairs are
-    formed. ``direction`` is ``nearest``, ``backward`` or ``forward``;
+    formed. A NULL key is a key of its own. ``direction`` is ``nearest``, ``backward`` or ``forward``;
     ``strict`` leaves out rows at the very same time.
     """
     side = "_right"
@@ -38,8 +38,8 @@ def nearest_join(
         F.lit(None).cast("long").alias("_tie"),
     )
     rights = right.select(*keys, F.col(time), payload.alias(side), F.col(tie).cast("long").alias("_tie"))
-    rows = slice_rows(lefts.unionByName(rights, allowMissingColumns=True), keys, time, slicing)
-    by = [*keys, CELL, PART]
+    rows, own = plain_keys(slice_rows(lefts.unionByName(rights, allowMissingColumns=True), keys, time, slicing), keys)
+    by = [*own, CELL, PART]
     # Right rows come first at equal times (their tie is not NULL), the smallest
     # tie last, so "last seen" is the wanted one. strict puts them after.
     if strict:
@@ -55,9 +55,9 @@ def nearest_join(
     wants_on = direction in {"nearest", "forward"}
 
     edges, carries, locals_ = [], [], {}
-    across = Window.partitionBy(*keys).orderBy(CELL, PART).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*own).orderBy(CELL, PART).rowsBetween(Window.unboundedPreceding, -1)
     across_back = (
-        Window.partitionBy(*keys).orderBy(F.desc(CELL), F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*own).orderBy(F.desc(CELL), F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     )
     if wants_back:
         locals_["_earlier"] = F.last(side, ignorenulls=True).over(on)

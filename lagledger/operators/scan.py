@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagledger.session import cut_lineage
 
@@ -37,6 +40,63 @@ class Slicing:
     cuts: DataFrame | None = None
 
 
+def plain_keys(df: DataFrame, keys: Sequence[str], prefix: str = "_by") -> tuple[DataFrame, list[str]]:
+    """Key columns for joins and windows alike, in which NULL equals NULL.
+
+    A key that may be NULL becomes two columns, its value or a default and whether it is NULL; both are plain values, so
+    sorting and hashing stay as cheap as on the key, and one partitioning serves the windows and the join. A key of a
+    nested type becomes a struct round it, which compares NULL as a value.
+    """
+    made: dict[str, Column] = {}
+    names: list[str] = []
+    for i, key in enumerate(keys):
+        field = df.schema[key]
+        if not field.nullable:
+            names.append(key)
+            continue
+        name = f"{prefix}{i}"
+        default = _default(field.dataType)
+        if default is None:
+            made[name] = F.struct(F.col(key).alias("x"))
+            names.append(name)
+        else:
+            made[name] = F.coalesce(F.col(key), default.cast(field.dataType))
+            made[f"{name}n"] = F.col(key).isNull()
+            names += [name, f"{name}n"]
+    return (df.withColumns(made) if made else df), names
+
+
+def given_keys(keys: Sequence[str], names: Sequence[str], prefix: str = "_by") -> list[Column]:
+    """The keys again, from the columns of :func:`plain_keys`."""
+    out = []
+    for i, key in enumerate(keys):
+        name = f"{prefix}{i}"
+        if f"{name}n" in names:
+            out.append(F.when(~F.col(f"{name}n"), F.col(name)).alias(key))
+        else:
+            out.append(F.col(f"{name}.x").alias(key) if name in names else F.col(key))
+    return out
+
+
+def _default(kind: T.DataType) -> Column | None:
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, T.NumericType):
+        return F.lit(0)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01")
+    return None
+
+
+def _with_few(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows with the columns of a small table of the same keys; NULL equals NULL."""
+    there = few.withColumnsRenamed({k: f"_few_{k}" for k in keys})
+    same = reduce(and_, [df[k].eqNullSafe(there[f"_few_{k}"]) for k in keys])
+    return df.join(F.broadcast(there), same, how).drop(*[f"_few_{k}" for k in keys])
+
+
 def _cell(order: Column | str, slicing: Slicing) -> Column:
     """Rows without an order value share one cell that comes first, as NULLs do in an ascending order."""
     order = F.col(order) if isinstance(order, str) else order
@@ -56,7 +116,7 @@ def measure(df: DataFrame, keys: Sequence[str], order: str, slicing: Slicing) ->
         return replace(slicing, measured=True, cuts=None)
     steps = [i / slicing.parts for i in range(1, slicing.parts)]
     cuts = (
-        seen.join(F.broadcast(hot), by)
+        _with_few(seen, hot, by, "inner")
         .groupBy(*by)
         .agg(F.percentile_approx(order, steps, slicing.parts * 20).alias("_cuts"))
     )
@@ -74,7 +134,7 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: str, slicing: Slicing)
     base = df.withColumn(CELL, _cell(order, slicing))
     if slicing.cuts is None:
         return base.withColumn(PART, F.lit(0))
-    cut = base.join(F.broadcast(slicing.cuts), [*keys, CELL], "left")
+    cut = _with_few(base, slicing.cuts, [*keys, CELL], "left")
     return cut.withColumn(PART, _part(F.col(order))).drop("_cuts")
 
 
@@ -101,7 +161,7 @@ def scan(
 
     ``before``/``after``: value on the neighbouring row. ``last_seen`` /
     ``next_seen``: nearest non-null value up to / from the row, itself
-    included. ``running``: inclusive running sum. ``running_max``: maximum over
+    included. A NULL key is a key of its own. ``running``: inclusive running sum. ``running_max``: maximum over
     the rows strictly before. ``index``: 0-based row number in the key.
     """
     before, after = dict(before or {}), dict(after or {})
@@ -109,8 +169,8 @@ def scan(
     running, running_max = dict(running or {}), dict(running_max or {})
     if index:
         running[index] = F.lit(1).cast("long")
-    rows = slice_rows(df, keys, order, slicing)
-    by = [*keys, CELL, PART]
+    rows, own = plain_keys(slice_rows(df, keys, order, slicing), keys)
+    by = [*own, CELL, PART]
     at = _ordering(order, ties)
     names = [*before, *after, *last_seen, *next_seen, *running, *running_max]
     inputs = {**before, **after, **last_seen, **next_seen, **running, **running_max}
@@ -146,8 +206,8 @@ def scan(
         edge[n] = F.max(f"_in_{n}")
 
     # Second level: one row per slice, so a key's rows here number span / width.
-    across = Window.partitionBy(*keys).orderBy(CELL, PART)
-    across_back = Window.partitionBy(*keys).orderBy(F.desc(CELL), F.desc(PART))
+    across = Window.partitionBy(*own).orderBy(CELL, PART)
+    across_back = Window.partitionBy(*own).orderBy(F.desc(CELL), F.desc(PART))
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     later = across_back.rowsBetween(Window.unboundedPreceding, -1)
     carry: dict[str, Column] = {}
@@ -205,7 +265,7 @@ def halo_slices(
     if slicing.cuts is None:
         return spread.withColumn(PART, F.lit(0)).withColumn("_home", F.col(CELL) == F.col("_base")).drop("_base")
     return (
-        spread.join(F.broadcast(slicing.cuts), [*keys, CELL], "left")
+        _with_few(spread, slicing.cuts, [*keys, CELL], "left")
         .withColumn(PART, F.explode(F.sequence(_part(first), _part(last))))
         .withColumn("_home", (F.col(CELL) == F.col("_base")) & (F.col(PART) == _part(t)))
         .drop("_cuts", "_base")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 from math import comb
 
 import numpy as np
@@ -11,21 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lagledger.operators.labelings import share_of_labelings, tail_of_labelings
 from lagledger.operators.quantiles import quantiles
-from lagledger.operators.scan import Slicing, scan
+from lagledger.operators.scan import Slicing, given_keys, plain_keys, scan
 
 # One cell per group; a group above max_rows is cut at value quantiles.
 BY_VALUE = Slicing(width=1e300)
 EXACT_LABELINGS = 250_000
-EXACT_MEDIAN_ROWS = 400
+WHOLE_ROWS = 130  # whole numbers of 38 digits hold all labelings
+EXACT_MEDIAN_ROWS = 10_000
+RANKS = 64  # lower ranks per row of the pair table
 DRAWS = 5_000  # draws per block of random numbers
 
-CAUTIONS = (
-    "Epochs, not single tokens, are compared, so repeated tokens do not count as independent.",
-    "A participant cannot be separated from their device, network path and buffering.",
-    "The permutation share is exploratory: streams are neither randomized nor exchangeable.",
-    "A difference describes this recording's streams, not a cause and not a person.",
-)
+def null_keys(compute: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A comparison by keys in which NULL is a key of its own."""
+
+    @wraps(compute)
+    def run(values: DataFrame, keys: Sequence[str], *args, **options) -> DataFrame:
+        prefix = "_key"
+        while any(c.startswith(prefix) for c in values.columns):
+            prefix += "_"
+        named, own = plain_keys(values, keys, prefix)
+        out = compute(named, own, *args, **options)
+        return out if own == list(keys) else out.select(*given_keys(keys, own, prefix), *[c for c in out.columns if c not in own])
+
+    return run
 
 
 def mix32(value: Column) -> Column:
@@ -102,6 +113,7 @@ def _drawn(sizes: DataFrame, keys: list[str], iterations: int, seed: int | Colum
     return work.repartition(*keys, "_block").mapInPandas(run, schema)
 
 
+@null_keys
 def cliffs_delta(values: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """P(candidate > control) + ties/2, and 2p - 1, from cumulative counts of equal values.
 
@@ -122,6 +134,7 @@ def cliffs_delta(values: DataFrame, keys: Sequence[str], group: str, value: str)
     )
 
 
+@null_keys
 def bootstrap_median_difference(
     values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column, draws: str = "ranks"
 ) -> DataFrame:
@@ -193,6 +206,7 @@ def _ranked_pool(values: DataFrame, keys: list[str], group: str, value: str) ->
     return ranked.join(sizes, keys)
 
 
+@null_keys
 def label_permutation(
     values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int, seed: int | Column, draws: str = "ranks"
 ) -> DataFrame:
@@ -296,62 +310,53 @@ def _enumerate_labelings(keys: list[str]):
     return run
 
 
+@null_keys
 def exact_median_permutation(
-    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int = 100_000, seed: int | Column = 1729
+    values: DataFrame, keys: Sequence[str], group: str, value: str, *, iterations: int = 100_000, seed: int | Column = 1729,
+    most_exact: int = EXACT_MEDIAN_ROWS,
 ) -> DataFrame:
     """Exact tail share of the median difference over all labelings (no +1).
 
-    Labelings are counted, not listed: rows are taken in value order, and
-    labelings that agree so far in their counts and central values are merged.
-    Counts are whole numbers of any size; ``tail`` and ``total`` are NULL where
-    they exceed 38 digits, ``exact_p`` is there all the same. Groups above 400
-    rows get ``iterations`` random labelings and ``method = 'sampled'``.
+    Labelings are counted by pairs of central ranks (:mod:`lagledger.operators.labelings`), not listed. Up to WHOLE_ROWS
+    rows the counts are whole numbers, ``tail`` and ``total``. Larger groups give ``exact_p`` alone, to about ten digits:
+    each group's ranks are dealt out in rows of RANKS ranks, every row's share is computed by its own task from logarithms
+    of binomials, and the shares are summed. Groups above ``most_exact`` rows get ``iterations`` random labelings and
+    ``method = 'sampled'``.
     """
     keys = list(keys)
     pool = _ranked_pool(values, keys, group, value).filter((F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.select(*keys).schema)
-    lead = f"{base}, " if base else ""
-    counted = pool.filter(F.col("_n") <= EXACT_MEDIAN_ROWS).groupBy(*keys).applyInPandas(
-        _count_labelings(keys), f"{lead}tail string, total string, exact_p double"
-    )
-    number = lambda c: F.when(F.length(c) <= 38, F.col(c)).cast("decimal(38,0)").alias(c)
+    base = [f"`{f.name}` {f.dataType.simpleString()}" for f in pool.select(*keys).schema]
+    whole = F.least(F.lit(WHOLE_ROWS), F.lit(most_exact))
+    counted = pool.filter(F.col("_n") <= whole).groupBy(*keys).applyInPandas(_count_labelings(keys), ", ".join([*base, "tail string", "total string", "exact_p double"]))
+    number = lambda c: F.col(c).cast("decimal(38,0)").alias(c)
     done = counted.select(*keys, number("tail"), number("total"), "exact_p", F.lit("exact").alias("method"))
-    sampled = _random_labelings(pool.filter(F.col("_n") > EXACT_MEDIAN_ROWS), keys, iterations, seed).select(
+
+    nothing = F.lit(None).cast("decimal(38,0)")
+    larger = pool.filter((F.col("_n") > whole) & (F.col("_n") <= most_exact)).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_v")).alias("_values"), F.max("_k").alias("_k"), F.max("_observed").alias("_observed")
+    )
+    pairs = larger.withColumn("_first", F.explode(F.sequence(F.lit(0), F.size("_values") - 1, F.lit(RANKS))))
+    shares = pairs.repartition(*keys, "_first").mapInPandas(_rank_shares(keys), ", ".join([*base, "share double"]))
+    summed = shares.groupBy(*keys).agg(F.least(F.sum("share"), F.lit(1.0)).alias("exact_p"))
+    summed = summed.select(*keys, nothing.alias("tail"), nothing.alias("total"), "exact_p", F.lit("exact").alias("method"))
+
+    sampled = _random_labelings(pool.filter(F.col("_n") > most_exact), keys, iterations, seed).select(
         *keys, F.col("hits").cast("decimal(38,0)").alias("tail"), F.col("total").cast("decimal(38,0)").alias("total"),
         (F.col("hits") / F.col("total")).alias("exact_p"), F.lit("sampled").alias("method"),
     )
-    return done.unionByName(sampled)
-
-
-def tail_of_labelings(v: Sequence[float], k: int, observed: float) -> tuple[int, int]:
-    """(labelings with median difference >= observed, all labelings) for sorted values."""
-    n = len(v)
-    inside = {(k + 1) // 2, k // 2 + 1}
-    outside = {(n - k + 1) // 2, (n - k) // 2 + 1}
-    bar = observed - 1e-12 * max(1.0, abs(observed))
-    tail = total = 0
-    # State: rows labelled candidate so far, central candidate and control values met.
-    states: dict[tuple, int] = {(0, (), ()): 1}
-    for at, x in enumerate(v):
-        merged: dict[tuple, int] = {}
-        for (a, mine, theirs), ways in states.items():
-            b = at - a
-            for grown in (True, False):
-                if (a == k) if grown else (b == n - k):
-                    continue
-                na = a + grown
-                m = mine + (x,) if grown and na in inside else mine
-                t = theirs + (x,) if not grown and b + 1 in outside else theirs
-                if len(m) == len(inside) and len(t) == len(outside):
-                    rest = ways * comb(n - at - 1, k - na)
-                    total += rest
-                    if sum(m) / len(m) - sum(t) / len(t) >= bar:
-                        tail += rest
-                else:
-                    state = (na, m, t)
-                    merged[state] = merged.get(state, 0) + ways
-        states = merged
-    return tail, total
+    return done.unionByName(summed).unionByName(sampled)
+
+
+def _rank_shares(keys: list[str]):
+    def run(frames):
+        for frame in frames:
+            share = [
+                share_of_labelings(np.asarray(v, np.float64), int(k), float(o), int(f), int(f) + RANKS)
+                for v, k, o, f in zip(frame["_values"], frame["_k"], frame["_observed"], frame["_first"], strict=True)
+            ]
+            yield frame[keys].assign(share=share)
+
+    return run
 
 
 def _count_labelings(keys: list[str]):
@@ -376,6 +381,7 @@ def binomial(n: Column, k: Column) -> Column:
     return _binomial_text(n.cast("long"), k.cast("long"))
 
 
+@null_keys
 def compare_groups(
     epochs: DataFrame,
     keys: Sequence[str],
@@ -439,6 +445,7 @@ def compare_groups(
     )
 
 
+@null_keys
 def compare_metrics(
     epochs: DataFrame, keys: Sequence[str], metrics: Sequence[str], *, group: str = "grp", iterations: int = 20_000, seed: int | Column
 ) -> DataFrame:

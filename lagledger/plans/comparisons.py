@@ -65,7 +65,13 @@ def compared_full(spark, folder):
 
 @cat.query("q4_sampled_median_permutation")
 def sampled(spark, folder):
-    """One group of all epochs: above the size that is counted, so labelings are drawn."""
+    """One group of all epochs, labelings drawn."""
+    return st.exact_median_permutation(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", seed=1729, most_exact=0)
+
+
+@cat.query("q4_exact_of_all_epochs")
+def exact_of_all(spark, folder):
+    """One group of all epochs, labelings counted by pairs of central ranks."""
     return st.exact_median_permutation(all_epochs(spark, folder), ALL, "grp", "median_lag_ms", seed=1729)
 
 
