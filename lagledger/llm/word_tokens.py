@@ -19,9 +19,8 @@ def _younger(wanted: set[str], young: dict[str, bytes], old: dict[str, bytes]) -
     """Both generations, all that is known of ``wanted`` in the first; a full one becomes the second, which is dropped."""
     if len(young) > MOST_WORDS:
         young, old = {}, young
-    for w in wanted:
-        if w not in young and w in old:
-            young[w] = old[w]
+    for w in (wanted - young.keys()) & old.keys():
+        young[w] = old[w]
     return young, old
 
 
