@@ -190,6 +190,32 @@ def class_counts(rows: DataFrame, label: str, allowed: DataFrame) -> DataFrame:
     return allowed.select(label).distinct().join(counted, label, "left").fillna(0, subset=["events"])
 
 
+def table_checks(rows: DataFrame, keys: Sequence[str], rules: dict[str, Column], needs: dict[str, str] | None = None) -> DataFrame:
+    """(position, name, violations, details, error, status, overall) of many rules of one table, from one aggregate over one scan.
+
+    A rule is true on a bad row. ``details`` is the smallest key of a bad row as JSON; a rule that is NULL on some rows
+    decides nothing about them and ends as ERROR. A rule whose prerequisite did not pass is SKIPPED. An empty table passes.
+    """
+    needs = needs or {}
+    made = []
+    for i, bad in enumerate(rules.values()):
+        made += [F.count_if(bad).alias(f"_v{i}"), F.min(F.when(bad, F.struct(*keys))).alias(f"_d{i}"), F.count_if(bad.isNull()).alias(f"_u{i}")]
+    found = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(n).alias("name"), F.col(f"_v{i}").alias("violations"), F.to_json(f"_d{i}").alias("details"),
+            F.when(F.col(f"_u{i}") > 0, F.concat(F.col(f"_u{i}").cast("string"), F.lit(" rows undecided"))).alias("error"),
+        )
+        for i, n in enumerate(rules)
+    ]
+    own = {}
+    for i, n in enumerate(rules):
+        result = F.when(F.col(f"_u{i}") > 0, "ERROR").when(F.col(f"_v{i}") > 0, "FAIL").otherwise("PASS")
+        own[n] = F.when(own[needs[n]] != "PASS", "SKIPPED").otherwise(result) if n in needs else result
+    overall = F.when(F.forall(F.array(*own.values()), lambda s: s == "PASS"), "PASS").otherwise("FAIL")
+    listed = F.array(*[F.struct(f.alias("c"), own[n].alias("status")) for f, n in zip(found, rules)])
+    return rows.agg(*made).select(overall.alias("overall"), F.explode(listed).alias("r")).select("r.c.*", "r.status", "overall")
+
+
 def run_checks(checks: dict[str, DataFrame], needs: dict[str, str] | None = None) -> DataFrame:
     """(name, violations, status) per check; a check whose prerequisite failed is skipped.
 

@@ -326,6 +326,25 @@ def tolerance(spark, folder):
     return out.select("event_id", F.concat_ws(",", "match_reasons").alias("reasons"))
 
 
+BAD_LINES = {"positive_quantity": "l_quantity <= 0", "modest_discount": "l_discount > 0.08", "known_line": "nullif(l_linenumber, 7) > 7", "first_lines": "l_linenumber > 1"}
+
+
+@cat.query(
+    "x20_table_checks",
+    "WITH r AS ("
+    + " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{n}' AS name, count(*) FILTER ({bad}) AS violations, count(*) FILTER (({bad}) IS NULL) AS undecided,
+ (SELECT '{{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}}' FROM lineitem WHERE {bad} ORDER BY l_orderkey, l_linenumber LIMIT 1) AS details FROM lineitem"""
+        for i, (n, bad) in enumerate(BAD_LINES.items())
+    )
+    + """), s AS (SELECT *, CASE WHEN name = 'first_lines' AND (SELECT violations FROM r WHERE name = 'modest_discount') > 0 THEN 'SKIPPED' WHEN undecided > 0 THEN 'ERROR' WHEN violations > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM r)
+SELECT position, name, violations, details, CASE WHEN undecided > 0 THEN undecided || ' rows undecided' END AS error, status, (SELECT CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END FROM s) AS overall FROM s""",
+)
+def line_checks(spark, folder):
+    rules = {n: F.expr(bad) for n, bad in BAD_LINES.items()}
+    return lg.table_checks(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], rules, {"first_lines": "modest_discount"})
+
+
 @cat.query(
     "x20_run_checks",
     """WITH v AS (SELECT 0 AS position, 'unique_orders' AS name, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS violations, NULL AS needs

@@ -18,6 +18,7 @@ from lagledger.operators.timeline import reuse_join
 from lagledger.plans.catalogue import Catalogue
 from lagledger.session import cut_lineage
 from lagledger.plans.standins import CLIPS_SQL, E_SQL, HOUR_US, clips, stream, table
+from lagledger.functions.numeric import designated_relations
 
 cat = Catalogue()
 RATE = 16_000
@@ -337,6 +338,22 @@ def compared(spark, folder):
     )
 
 
+@cat.query(
+    "f21_designated_relations",
+    """WITH s AS (SELECT s_nationkey AS k, min(s_acctbal) AS lo, max(s_acctbal) AS hi, median(s_acctbal) AS mid FROM supplier GROUP BY 1)
+SELECT c_custkey, c_acctbal >= lo AND c_acctbal <= hi AS inside_range, round(mid - c_acctbal, 6) AS signed_delta, round(abs(mid - c_acctbal), 6) AS absolute_delta
+FROM customer LEFT JOIN s ON k = c_nationkey""",
+)
+def relations(spark, folder):
+    """A customer's balance against the range of the suppliers of the same nation; NULL where a nation has none."""
+    s = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(
+        F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"), F.median("s_acctbal").alias("mid")
+    )
+    c = table(spark, folder, "customer").join(s, "c_nationkey", "left")
+    r = designated_relations("lo", "hi", "mid", "c_acctbal")
+    return c.select("c_custkey", r["inside_range"].alias("inside_range"), r6(r["signed_delta"]).alias("signed_delta"), r6(r["absolute_delta"]).alias("absolute_delta"))
+
+
 @cat.query(
     "t7_nearest_with_ties",
     f"""WITH {SIMPLE_SQL}, a AS (SELECT group_id, metric_id, abs(mid - dv) AS x, min(abs(mid - dv)) OVER (PARTITION BY metric_id) AS m FROM g JOIN d USING (metric_id))

@@ -13,6 +13,7 @@ from lagledger.operators.rules import passes, reasons
 from lagledger.plans.catalogue import Catalogue
 from lagledger.session import cut_lineage
 from lagledger.plans.standins import CLICK_SQL, DAILY, GROUP_SQL, HOUR_US, VIEW_SQL, WEEK_US, group_of, stream
+from lagledger.operators.scan import scan
 
 cat = Catalogue()
 LIMIT_US = 48 * HOUR_US
@@ -61,6 +62,34 @@ def nearest_view(spark, folder):
     return lag_ledger(spark, folder).select("event_id", "view_id", (F.col("view_t") - F.col("t")).alias("gap_us"))
 
 
+def nameless(spark, folder, kind: str):
+    """Events of one type; every fifth user has no name, so that these users share the NULL key."""
+    return stream(spark, folder, kind).select(F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("user_id"), "event_id", "t")
+
+
+@cat.query(
+    "j4_null_keys",
+    f"""WITH c AS (SELECT event_id, t, CASE WHEN user_id % 5 <> 0 THEN user_id END AS k FROM ({CLICK_SQL})), v AS (SELECT event_id, t, CASE WHEN user_id % 5 <> 0 THEN user_id END AS k FROM ({VIEW_SQL})),
+m AS (SELECT c.event_id, v.event_id AS view_id, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(v.t - c.t), v.t, v.event_id) AS rn FROM c JOIN v ON c.k IS NOT DISTINCT FROM v.k)
+SELECT c.event_id, k IS NULL AS nameless, view_id FROM c LEFT JOIN m ON m.event_id = c.event_id AND rn = 1""",
+)
+def nearest_of_null_keys(spark, folder):
+    views = nameless(spark, folder, "view").withColumnRenamed("event_id", "view_id")
+    found = nearest_join(nameless(spark, folder, "click"), views, ["user_id"], "t", DAILY, tie="view_id")
+    return found.select("event_id", F.col("user_id").isNull().alias("nameless"), F.col("match.view_id").alias("view_id"))
+
+
+@cat.query(
+    "w7_null_keys",
+    f"""SELECT event_id, lag(event_id) OVER w AS previous_id, lead(event_id) OVER w AS next_id, row_number() OVER w - 1 AS place
+FROM (SELECT event_id, t, CASE WHEN user_id % 5 <> 0 THEN user_id END AS k FROM ({CLICK_SQL})) WINDOW w AS (PARTITION BY k ORDER BY t, event_id)""",
+)
+def neighbours_of_null_keys(spark, folder):
+    e = F.col("event_id")
+    out = scan(nameless(spark, folder, "click"), ["user_id"], "t", DAILY, ties=["event_id"], before={"previous_id": e}, after={"next_id": e}, index="place")
+    return out.select("event_id", "previous_id", "next_id", "place")
+
+
 @cat.query(
     "j4_backward_asof",
     f"""WITH c AS ({CLICK_SQL}), v AS ({VIEW_SQL})
