@@ -10,20 +10,11 @@ import regex
 
 from lagledger.llm.common import cached
 
-MOST_WORDS = 300_000  # held per worker in each of two generations; results stay the same
+MOST_WORDS = 600_000  # cached per worker; a full cache is emptied, results stay the same
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
-def _younger(wanted: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    """Both generations, all that is known of ``wanted`` in the first; a full one becomes the second, which is dropped."""
-    if len(young) > MOST_WORDS:
-        young, old = {}, young
-    for w in (wanted - young.keys()) & old.keys():
-        young[w] = old[w]
-    return young, old
-
-
 class WordTokens:
     """Encodes like ``Tokenizer.encode(text, add_special_tokens=False)``, then ``end_id``.
 
@@ -50,15 +41,16 @@ class WordTokens:
         self.tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids per text."""
         words = [_SPLIT.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
         wanted = set().union(*words)
-        self.words, self.old_words = _younger(wanted, self.words, self.old_words)
-        self._learn(wanted - self.words.keys())
+        new = {w for w in wanted if w not in self.words}
+        if len(self.words) + len(new) > MOST_WORDS:
+            self.words.clear()
+            new = wanted
+        self._learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, w)) + self.tail for w in words]
 
@@ -74,9 +66,11 @@ class WordTokens:
                 cut[w] = (w[:-1].lower(), w[-1])
             else:
                 cut[w] = findall(w.lower())
-        wanted = {p for ps in cut.values() for p in ps}
-        self.pieces, self.old_pieces = _younger(wanted, self.pieces, self.old_pieces)
-        self._learn_pieces(list(wanted - self.pieces.keys()))
+        new = {p for ps in cut.values() for p in ps if p not in self.pieces}
+        if len(self.pieces) + len(new) > MOST_WORDS:
+            self.pieces.clear()
+            new = {p for ps in cut.values() for p in ps}
+        self._learn_pieces(list(new))
         get = self.pieces.__getitem__
         for w, ps in cut.items():
             self.words[w] = b"".join(map(get, ps))
