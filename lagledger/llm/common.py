@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,27 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
+def own_names(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run(docs, ...)`` whatever the columns of ``docs`` are called.
+
+    Columns named like those used inside (two underscores first) or with a dot get another name on the way in and their own
+    one back on the way out; arguments that name such a column follow.
+    """
+
+    @wraps(run)
+    def with_free_names(docs: DataFrame, *args, **options) -> DataFrame:
+        mark = "given"
+        while any(c.lower().startswith(mark) for c in docs.columns):
+            mark += "_"
+        free = {c: f"{mark}{k}" for k, c in enumerate(docs.columns) if c.startswith("__") or "." in c}
+        follow = lambda x: free.get(x, x) if isinstance(x, str) else x
+        out = run(docs.toDF(*[free.get(c, c) for c in docs.columns]), *map(follow, args), **{k: follow(v) for k, v in options.items()})
+        back = {v: k for k, v in free.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return with_free_names
+
+
 def cells_for(rows: int, per_cell: int = 2_000, most: int = 1 << 16) -> int:
     """Into how many hash cells an order is cut so that one window never sees more than a small share of the rows."""
     return max(1, min(most, -(-rows // per_cell)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagledger.llm.common import own_names
 from lagledger.session import broadcast_if_small, cut_lineage
 
 SALTS = 16
@@ -54,6 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+@own_names
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns; of rows that repeat an id and a text, one.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagledger.llm.common import HASH_BITS, WORD, cells_for, draw, key_of, running, text_of
+from lagledger.llm.common import HASH_BITS, WORD, cells_for, draw, key_of, own_names, running, text_of
 from lagledger.session import broadcast_if_small, cut_lineage
 
 GRID = 1 << 16  # exponents are multiples of 1 / GRID
@@ -151,6 +151,7 @@ def mix(
     )
 
 
+@own_names
 def mixed_rows(
     docs: DataFrame,
     entropy_share: float | None = ENTROPY_SHARE,
