@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagledger.llm.common import cached, draw, lean, modest_batches, staged, text_of
+from lagledger.llm.common import HASH_BITS, cached, draw, lean, modest_batches, own_names, staged, text_of
 from lagledger.session import broadcast_if_small
 
 ORDERS = (3, 4)
@@ -22,6 +22,7 @@ GRAMS = 4_000  # most frequent n-grams per language and order
 SLOT_BITS = 17
 SEGMENT = 1 << 20  # characters handled at once; n-grams do not span its borders
 UNKNOWN = "und"
+LEAST_GRAMS = 40  # a text with as many n-grams, none of them known to any filter, is in no learned language
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PROBES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -108,8 +109,8 @@ class LanguageFilters:
             slots[order], rates[order] = sliced, load ** len(_PROBES)
         return LanguageFilters(tuple(languages), orders, bits, slots, rates)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and score per text.
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[int], list[float]]:
+        """Language, score, number of n-grams and corrected hits of all languages per text.
 
         Per order, the slots of an n-gram are ANDed: the bits left are all the languages that may contain it. A
         language's hits h among n n-grams hold about (n - true) * f false ones at its filter's false positive rate f,
@@ -131,11 +132,12 @@ class LanguageFilters:
                     for k in range(64 * word, min(many, 64 * word + 64)):
                         hits[o][k] += np.bincount(at[((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)], minlength=count)
         if not many:
-            return [UNKNOWN] * count, [0.0] * count
+            return [UNKNOWN] * count, [0.0] * count, [0] * count, [0.0] * count
         true = sum(np.clip((hits[o] - seen[o] * self.false_rate[o][:, None]) / (1 - np.minimum(self.false_rate[o], 0.99))[:, None], 0, None) for o in self.orders)
         best, total = true.argmax(0), true.sum(0)
         score = np.where(total > 0, true.max(0) / np.where(total > 0, total, 1), 1 / many)
-        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0).tolist()
+        names = [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
+        return names, np.where(has, score, 0.0).tolist(), sum(seen.values()).astype(np.int64).tolist(), total.tolist()
 
 
 def held_out(id_col: Column) -> Column:
@@ -148,13 +150,17 @@ def fit(
 ) -> LanguageFilters:
     """Filters from at most ``fit_rows`` labelled rows per language (a seeded draw), each text whole.
 
-    Only the chosen ids, at most ``fit_rows`` a language, go to the texts. N-grams are counted in Spark and the
+    Only the chosen ids, at most ``fit_rows`` a language, go to the texts. A language with many rows is first cut at a draw
+    that some 2 * ``fit_rows`` of them stay below, so that no task ranks all rows of a language. N-grams are counted in Spark and the
     ``n_grams`` most frequent of each language and order come back.
     """
     modest_batches(labelled.sparkSession)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     order = Window.partitionBy("lang").orderBy("draw", "id")
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), draw("fit", F.col(id_col)).alias("draw"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    below = F.col("draw") < F.lit(float((2 * fit_rows + 100) << HASH_BITS)) / F.col("rows")
+    ids = ids.join(broadcast_if_small(sizes), "lang").filter(below).drop("rows")
     ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_rows).select("id", "lang").distinct()
     texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     texts = texts.join(broadcast_if_small(ids), ["id", "lang"], "left_semi").select("lang", "text")
@@ -186,20 +192,21 @@ def fit(
 
 
 def predict_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, lang_pred, score.
+    """One row per input row: ``id_col``, lang_pred, score, n_grams, hits (corrected, of all languages).
 
     Edge cases: a null text, one without a letter, or filters fitted on nothing give ``und`` and score 0; letters that
     no filter knows give the first language and an even score; text of any length is read whole; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType()), T.StructField("hits", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                lang, score = shared.value.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+                lang, score, n, hits = shared.value.predict(part.column(1).to_pylist())
+                told = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(hits, pa.float64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *told], names=schema.names)
 
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(lean(run, "letters"), schema)
 
@@ -208,18 +215,21 @@ def _labelled(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
     return docs.filter(~held_out(F.col(id_col))) if lang_col in docs.columns else docs.limit(0).withColumn(lang_col, F.lit(None).cast("string"))
 
 
+@own_names
 def identify_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language can be told, with all their columns.
 
-    A prediction is ``und`` where a text has no letter, so the rejected ids are few; they go against the rows and the
-    texts stay where they are. Rows that repeat an id share one fate: kept if one of them is. With no label to learn
+    Rejected are texts without a letter, and texts of LEAST_GRAMS n-grams or more that meet no filter once false positives
+    are taken off. Shorter texts without a hit say too little and stay. The rejected ids go against the rows and the texts
+    stay where they are. Rows that repeat an id share one fate: kept if one of them is. With no label to learn
     from, no row is rejected.
     """
     filters = fit(_labelled(docs, id_col, lang_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not filters.languages:
         return docs
     told = predict_language(docs, filters, id_col, text_col)
-    fate = told.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("lang_pred") != UNKNOWN).alias("__known")).filter("NOT __known").select("__id")
+    known = (F.col("lang_pred") != UNKNOWN) & ((F.col("n_grams") < LEAST_GRAMS) | (F.col("hits") > 0))
+    fate = told.groupBy(F.col(id_col).alias("__id")).agg(F.max(known).alias("__known")).filter("NOT __known").select("__id")
     return docs.join(broadcast_if_small(staged(fate, "rejected"), 4_000_000), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
 
 
