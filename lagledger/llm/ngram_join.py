@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagledger.llm.common import lean, modest_batches, staged, text_of
+from lagledger.llm.common import lean, modest_batches, own_names, staged, text_of
 from lagledger.llm.components import components
 from lagledger.llm.word_codes import MULTIPLIER, owners, scatter, split, window_codes, word_codes
 from lagledger.session import broadcast_if_small
@@ -187,13 +187,16 @@ def near_copies(
 
     So a group of n near copies costs about n pairs, and no link between different components is lost.
 
-    Edge cases: a text without words has an empty set and no link; rows that repeat an id must have one text, and get one
-    row each; a null id is left out of links with others but has its own row; other columns are ignored. Shingle codes
+    Edge cases: a text without words has an empty set and no link; rows that repeat an id
+    get one row each, and their texts, compared one by one, are links of one document; ids are whole numbers; a null id is left out of links with others but has its own row; other columns are ignored. Shingle codes
     have 64 bits: inside a pair of documents equal codes are taken for equal shingles.
     """
     modest_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("id"), text_of(text_col).alias("text"))
     profiles = staged(_profiles(base, _counts(base, width, orders), width, percent), "profiles")
+    spans = profiles.filter(f"id != {_LOW}").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    if not spans.filter("low != high").isEmpty():
+        return _linked_by_row(docs, id_col, text_col, width=width, percent=percent, orders=orders)
     classes = profiles.filter(f"n > 0 AND id != {_LOW}").groupBy("digest").agg(F.min("id").alias("class"))
     classes = staged(classes, "classes")
     others = profiles.select("id", "digest").join(classes, "digest").filter("id > class").select("id")
@@ -246,6 +249,30 @@ def near_copies(
     )
 
 
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """Numbers the rows, so that an id may have several texts. A null id has no number and so links nothing."""
+    return staged(docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "numbered")
+
+
+def _linked_by_row(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """:func:`near_copies` where ids have several texts: rows are compared, then components that share an id are one.
+
+    A row without words is linked with nothing and so names its own id.
+    """
+    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
+    found = staged(near_copies(rows, id_col="__row", text_col="text", **options), "found")
+    named = staged(found.join(rows.select("__row", "id"), "__row"), "named")
+    words = named.filter("n_shingles > 0").select("id", "component_id").distinct()
+    first = words.groupBy("id").agg(F.min("component_id").alias("a"))
+    roots = components(words.join(first, "id").select("a", F.col("component_id").alias("b")))
+    whole = named.join(roots, named["component_id"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "component_id"))
+    least = whole.filter("n_shingles > 0").groupBy("comp").agg(F.min("id").alias("least"))
+    linked = whole.join(least, "comp", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    nobody = F.lit(None).cast("long")
+    return linked.unionByName(found.filter("__row IS NULL").select(nobody.alias(id_col), "n_shingles", nobody.alias("component_id")))
+
+
+@own_names
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, with all their columns.
 
@@ -259,8 +286,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _drop_by_row(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Numbers the rows, so that an id may have several texts. A null id has no number and so links nothing."""
-    rows = staged(docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "numbered")
+    rows = _numbered(docs, id_col)
     found = near_copies(rows, id_col="__row", text_col=text_col, **options).filter("__row IS NOT NULL")
     names = rows.select("__row", F.struct(F.col(id_col).alias("id"), F.sha2(text_of(text_col), 256).alias("digest")).alias("__name"))
     named = staged(found.select("__row", "component_id").join(names, "__row"), "named")
