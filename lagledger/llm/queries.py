@@ -15,7 +15,7 @@ from lagledger.llm.language_id import identify
 from lagledger.llm.mixing import mix
 from lagledger.llm.ngram_join import near_copies
 from lagledger.llm.packing import pack
-from lagledger.llm.secret_spans import ALLOWED, BASE, CANDIDATE, CLASSES, SCALE, WINDOW, most_weight, secret_spans
+from lagledger.llm.secret_spans import ALLOWED, BASE, CANDIDATE, CLASSES, PLACEHOLDERS, SCALE, WINDOW, most_weight, secret_spans
 from lagledger.llm.substring_dedup import remove_repeats
 from lagledger.llm.suffix_dedup import remove_repeated_bytes
 from lagledger.llm.va_clusters import CLUSTERS, ROUNDS, centroid_clusters
@@ -148,17 +148,20 @@ def _quoted(text: str) -> str:
 
 def _secrets_sql() -> str:
     """Positions from the pieces between matches; entropies of every window from scratch."""
-    kinds = [(k, o, *spec) for o, (k, spec) in enumerate(BASE.items())] + [("entropy", len(BASE), CANDIDATE, 0, 0)]
+    kinds = [(k, o, "x", *spec) for o, (k, spec) in enumerate(BASE.items())] + [("entropy", len(BASE), "blank", CANDIDATE, 0, 0)]
+    blank = "coalesce(text, '')"
+    for word in PLACEHOLDERS:
+        blank = f"regexp_replace({blank}, '{word}', '{' ' * len(word)}', 'gi')"
     found = " UNION ALL ".join(
-        f"""SELECT doc_id, {o} AS o, '{k}' AS kind, {least} AS least, unnest(regexp_extract_all(x, {_quoted(p)}, 0)) AS m,
-        unnest(regexp_extract_all(x, {_quoted(p)}, {group})) AS v, unnest(string_split_regex(x, {_quoted(p)})[1 : len(regexp_extract_all(x, {_quoted(p)}, 0))]) AS g,
-        generate_subscripts(regexp_extract_all(x, {_quoted(p)}, 0), 1) AS k FROM t"""
-        for k, o, p, group, least in kinds
+        f"""SELECT doc_id, {o} AS o, '{k}' AS kind, {least} AS least, unnest(regexp_extract_all({x}, {_quoted(p)}, 0)) AS m,
+        unnest(regexp_extract_all({x}, {_quoted(p)}, {group})) AS v, unnest(string_split_regex({x}, {_quoted(p)})[1 : len(regexp_extract_all({x}, {_quoted(p)}, 0))]) AS g,
+        generate_subscripts(regexp_extract_all({x}, {_quoted(p)}, 0), 1) AS k FROM t"""
+        for k, o, x, p, group, least in kinds
     )
     bound = " ".join(f"WHEN regexp_matches(m, {_quoted(p)}) THEN {most_weight(WINDOW, bits)}" for p, bits in CLASSES)
     allowed = " OR ".join(f"regexp_matches(m, {_quoted(p)})" for p in ALLOWED)
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {blank} AS blank FROM documents),
 found AS ({found}),
 placed AS (SELECT *, (sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM found
     WINDOW w AS (PARTITION BY doc_id, o ORDER BY k)),

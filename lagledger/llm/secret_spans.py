@@ -19,14 +19,15 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 # Character classes of candidates, narrowest first, with the least bits per character of a suspicious window.
 CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.8), ("^[A-Za-z0-9+/_=-]+$", 3.9))
-# Candidates that are no secret: without a letter or a digit, UUIDs, placeholders, paths of plain words.
+# Candidates that are no secret: without a letter or a digit, UUIDs, paths of plain words.
 ALLOWED = (
     r"^[^A-Za-z]*$",
     r"^[^0-9]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|xxxx",
     r"^/?([A-Za-z_-]+[0-9]{0,4}/)+[A-Za-z_-]*[0-9]{0,4}$",
 )
+# Placeholders end a candidate: no window reaches into one, what stands before and after is judged on its own.
+PLACEHOLDERS = ("example", "placeholder", "changeme", "xxxx")
 SCALE = 1_000_000  # entropies are summed as integers, so every engine gets the same windows
 CHUNK = 512
 
@@ -119,7 +120,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are ``kind:start:end`` in code points, end exclusive, by start, then by kind (assign, access, hex, entropy),
     comma-joined; base_sha256 is over those of the three fixed kinds. An entropy span reaches from the first to the last
     suspicious window of a candidate string: one whose Shannon entropy reaches the bits of the candidate's character
-    class. Candidates on the allow-list have none.
+    class. Candidates on the allow-list have none; a placeholder (in either case) parts a candidate in two.
 
     Work is per row and without a shuffle. A pattern is searched once; only texts that have a match pay for positions.
 
@@ -128,13 +129,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col("__text")
     out = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
-    for kind, (pattern, _, _) in {**BASE, "entropy": (CANDIDATE, 0, 0)}.items():
+    blank = text
+    for word in PLACEHOLDERS:
+        blank = F.regexp_replace(blank, f"(?i){word}", " " * len(word))  # as long, so positions stay
+    out = out.withColumn("__blank", F.when(text.rlike(f"(?i){'|'.join(PLACEHOLDERS)}"), blank).otherwise(text))
+    for kind, (pattern, _, _) in BASE.items():
         out = out.withColumn(f"__gaps_{kind}", F.split(text, pattern, -1))
+    out = out.withColumn("__gaps_entropy", F.split("__blank", CANDIDATE, -1))
     for order, (kind, (pattern, group, length)) in enumerate(BASE.items()):
         gaps, found = F.col(f"__gaps_{kind}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         parts = F.arrays_zip(_starts(gaps, found).alias("start"), found.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
         out = out.withColumn(f"__{kind}", F.when(F.size(gaps) > 1, _long_enough(parts, order, length)).otherwise(_no_spans()))
-    gaps, found = F.col("__gaps_entropy"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    gaps, found = F.col("__gaps_entropy"), F.regexp_extract_all("__blank", F.lit(CANDIDATE), F.lit(0))
     allowed = lambda c: F.exists(F.array(*[c.rlike(p) for p in ALLOWED]), lambda x: x)
     parts = F.filter(F.arrays_zip(_starts(gaps, found).alias("start"), found.alias("text")), lambda p: ~allowed(p["text"]))
     out = out.withColumn("__parts", F.when(F.size(gaps) > 1, parts).otherwise(F.array().cast("array<struct<start:int,text:string>>")))

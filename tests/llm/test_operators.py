@@ -225,6 +225,41 @@ def test_languages_with_letters_of_their_own(spark):
     assert all(r["lang"] == r["lang_pred"] for r in got)
 
 
+def syllables(seed: int, words: int, parts: list[str]) -> str:
+    r = np.random.default_rng(seed)
+    return " ".join("".join(r.choice(parts, 3)) for _ in range(words))
+
+
+KINDS = {"aa": ["ka", "ro", "mi", "tu"], "bb": ["sch", "ei", "ung", "ber"], "cc": ["oux", "ent", "que", "ill"]}
+
+
+def test_language_of_held_out_documents(spark):
+    """Languages that share an alphabet: nine of ten documents that took no part in the fit are named right."""
+    rows = [(300 * k + j, syllables(300 * k + j, 4 + j % 40, parts), lang) for k, (lang, parts) in enumerate(KINDS.items()) for j in range(300)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {r[0]: r[2] for r in rows}
+    right = [lang[r["doc_id"]] == r["lang_pred"] for r in got if r["held_out"]]
+    assert len(right) > 150 and np.mean(right) >= 0.9
+
+
+def test_rows_in_no_learned_language_go(spark):
+    rows = [(j, syllables(j, 20, KINDS["aa"]), "aa") for j in range(40)]
+    rows += [(100, syllables(1, 30, KINDS["bb"]), None), (101, "xyz", None), (102, "12 - 34", "aa"), (103, None, None)]
+    kept = {r["doc_id"] for r in identify_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {*range(40), 101}
+
+
+def test_the_fit_takes_the_smallest_draws_of_a_large_language(spark):
+    """The cut before the ranking changes nothing: the same filters as from the rows with the least draws."""
+    rows = [(j, f"{chr(97 + j % 26) * 3} {chr(97 + j // 26 % 26) * 4}", "aa") for j in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from lagledger.llm.common import draw
+
+    least = df.orderBy(draw("fit", F.col("doc_id")), "doc_id").limit(20)
+    one, two = fit(df, fit_rows=20), fit(least, fit_rows=20)
+    assert all((one.slots[o] == two.slots[o]).all() for o in one.orders)
+
+
 def test_filters_forget_no_member():
     rng = np.random.default_rng(1)
     code, lang = rng.integers(0, 1 << 63, 500).astype(np.uint64), rng.integers(0, 3, 500)
@@ -303,6 +338,27 @@ def test_a_null_id_that_is_a_near_copy_links_nothing(spark):
     assert got == Counter([(8, 8), (9, 9), (4, 4), (None, None), (None, None), (None, None)])
 
 
+def test_near_copies_of_ids_with_several_texts_are_the_same_in_any_partitioning(spark):
+    """5 and 6 are near copies by one text, 6 and 7 by another, so all three are one component; 4 has no words."""
+    rows = [(r[0], r[1], "x") for r in near_rows()] + [(4, "p q r s t", "x"), (3, "P q R s t", "x")]
+    want = Counter({(5, 5): 2, (6, 5): 2, (7, 5): 2, (8, 8): 1, (9, 9): 1, (4, 4): 1, (4, 3): 1, (3, 3): 1, (None, None): 3})
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(parts)
+        assert Counter((r["doc_id"], r["component_id"]) for r in near_copies(df).collect()) == want
+
+
+def test_columns_named_like_inner_ones_come_back_as_they_were(docs, spark):
+    """What each operator that returns whole rows keeps does not depend on further columns."""
+    names = ["__id", "__key", "__row", "__copy", "__text", "__digest", "__gone", "__draw", "__end", "__full", "__KNOWN", "given0", "a.b"]
+    more = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for run in (drop_copies, drop_near_copies, identify_rows, mixing.mixed_rows):
+        out = run(more)
+        assert out.columns == more.columns, run
+        rows = out.collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in run(docs).collect()), run
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), run
+
+
 def test_drop_near_copies_of_null_ids_and_ids_with_several_texts(spark):
     rows = near_rows()
     kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -373,6 +429,8 @@ def brute_spans(text):
     }
     spans = [(a, k, b) for k, (name, found) in enumerate(base.items()) for a, b in found]
     extra = []
+    for word in secret_spans.PLACEHOLDERS:
+        text = re.sub(word, " " * len(word), text, flags=re.I | re.A)
     for m in re.finditer(secret_spans.CANDIDATE, text):
         if any(re.search(p, m[0]) for p in secret_spans.ALLOWED):
             continue
@@ -399,6 +457,14 @@ def test_secret_spans(docs, none, plain, spark):
     assert [tuple(r) for r in got] == [(1, *brute_spans(many))]
 
 
+def test_a_placeholder_silences_only_itself(spark):
+    secret = "kJ8s+Zq2/LxW91bTTyUv0aQeR7mNp3Xc"
+    texts = [f"/example/{secret}", f"{secret}=xXxX{secret}", "EXAMPLE" + secret[:15], f"placeholder-changeme-{secret[:12]}"]
+    got = {r[0]: r[1] for r in secret_spans.secret_spans(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).select("doc_id", "spans").collect()}
+    assert got == {k: brute_spans(x)[-1] for k, x in enumerate(texts)}
+    assert [v.count("entropy") for _, v in sorted(got.items())] == [1, 2, 0, 0]
+
+
 # --- substring dedup
 
 
