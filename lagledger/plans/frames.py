@@ -230,6 +230,43 @@ def post_only(spark, folder):
     return geometry(spark, folder).select("audio_id", post_audio_only("earliest_contact", PERIOD).alias("post_audio_only"))
 
 
+# Samples of a clip stand for native frames one period apart; every fourth clip lost some. Its audio event lies between two frames.
+NATIVE_SQL = """e AS (SELECT vec_id, 20 + (vec_id % 10) / 10.0::DOUBLE AS a, embedding FROM embeddings),
+s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM e),
+f AS (SELECT vec_id, i, x > -0.15 AS usable, CASE WHEN x > -0.15 THEN CASE WHEN x > 0.18 THEN 'closed/contact' WHEN x > 0.1 THEN 'transition' ELSE 'open' END END AS state
+ FROM s WHERE NOT (vec_id % 4 = 0 AND x < -0.05)),
+w AS (SELECT e.vec_id, a, i, usable, state, i - lag(i) OVER (PARTITION BY e.vec_id ORDER BY i) AS gap FROM e LEFT JOIN f ON f.vec_id = e.vec_id AND i BETWEEN a - 6 AND a + 2),
+g AS (SELECT vec_id, count(i) AS n, count(*) FILTER (usable) AS k, count(*) FILTER (state = 'closed/contact') AS contacts, min(abs(i - a)) FILTER (usable) AS near,
+ min(i - a) FILTER (state = 'closed/contact') AS earliest, floor(a + 2.02) - ceil(a - 6.02) + 1 AS expected, min(i) - (a - 6) AS sg, a + 2 - max(i) AS eg, max(gap) AS mg FROM w GROUP BY vec_id, a),
+r AS (SELECT *, concat_ws(',', CASE WHEN n < expected THEN 'insufficient_native_frame_coverage' END, CASE WHEN n = 0 OR sg > 1.02 THEN 'missing_preclosure_window_coverage' END,
+ CASE WHEN n = 0 OR eg > 1.02 THEN 'missing_postrelease_window_coverage' END, CASE WHEN mg > 1.52 THEN 'native_frame_gap_in_closure_window' END,
+ CASE WHEN n = 0 THEN 'no_native_pts_frames_in_closure_window' END, CASE WHEN n = 0 OR k / n < 0.6 THEN 'insufficient_valid_nonrepeated_face_fraction' END,
+ CASE WHEN near IS NULL OR near > 1.2 THEN 'no_valid_nonrepeated_frame_near_audio_release' END, CASE WHEN contacts = 0 AND k < n THEN 'incomplete_usable_frame_coverage_for_absence' END) AS reasons FROM g)"""
+
+
+@cat.query(
+    "p9_closure_of_native_windows",
+    f"""WITH {NATIVE_SQL} SELECT vec_id, n AS frame_count, k AS usable_count, contacts AS contact_count, reasons, reasons = '' AS face_valid, CASE WHEN reasons <> '' THEN 'unavailable' WHEN contacts = 0 THEN 'no_visible_contact'
+ WHEN contacts = 1 THEN 'weak_contact' ELSE 'strong_contact' END AS closure, reasons = '' AND coalesce(earliest > 1, false) AS post_audio_only FROM r""",
+)
+def native_closure(spark, folder):
+    """Closure evidence where the coverage of the window by native frames counts as well."""
+    x, i = F.col("x"), F.col("i")
+    c = clips(spark, folder).select("vec_id", (F.lit(20.0) + (F.col("vec_id") % 10) / 10.0).alias("audio_time"), "samples")
+    state = F.when(x > 0.18, "closed/contact").when(x > 0.1, "transition").otherwise("open")
+    f = c.select("vec_id", F.posexplode("samples").alias("i", "x")).filter(~((F.col("vec_id") % 4 == 0) & (x < -0.05)))
+    f = f.select("vec_id", i.cast("double").alias("frame_t"), (x > -0.15).alias("usable"), F.when(x > -0.15, state).alias("state"))
+    events = c.select("vec_id", "audio_time", (F.col("audio_time") - 6).alias("w0"), (F.col("audio_time") + 2).alias("w1"), F.lit(0.0).alias("phase"))
+    near = (F.col("frame_t") >= F.col("w0")) & (F.col("frame_t") <= F.col("w1"))
+    window = events.join(f.withColumnRenamed("vec_id", "_v"), (F.col("vec_id") == F.col("_v")) & near, "left").drop("_v")
+    cover = seq.native_coverage(window, "vec_id", "frame_t", "w0", "w1", "phase", 1.0, 0.02)
+    g = closure_geometry(window, "vec_id", "frame_t", minimum_usable=0.60, nearest_within=1.2, coverage=cover)
+    return g.select(
+        "vec_id", "frame_count", "usable_count", "contact_count", F.concat_ws(",", "face_reasons").alias("reasons"), "face_valid", "closure",
+        post_audio_only("earliest_contact", 1.0).alias("post_audio_only"),
+    )
+
+
 @cat.query(
     "w10_native_coverage",
     f"""WITH c AS ({CLICK_SQL}), f AS ({FRAMES_SQL}), ph AS (SELECT user_id, min(t) AS phase FROM f GROUP BY 1),
