@@ -186,6 +186,29 @@ def shape_valid(rows: DataFrame, limits, period: str, error: str) -> DataFrame:
     return out.withColumn("shape", F.when(F.col("shape_valid"), state).otherwise("unavailable"))
 
 
+def direction_counts(rows: DataFrame, keys: list[str], lag: str, shape: str, frame_ms: float, valid: str) -> DataFrame:
+    """Twelve counters per key, zeros included; a key without an eligible event has zeros only.
+
+    Eligible are rows with a valid mouth shape. Within one frame either sign is consistent; a later video needs a mouth not
+    yet open, an earlier one an open mouth. A lag that is NULL or not finite is counted apart.
+    """
+    ok, l = F.coalesce(F.col(valid), F.lit(False)), finite(lag)
+    known, within = ok & l.isNotNull(), F.abs(l) <= frame_ms
+    later, earlier = known & ~within & (l > 0), known & ~within & (l < 0)
+    shut, opened = F.col(shape).isin("closed/contact", "transition"), F.col(shape) == "open"
+    fits = lambda side, good: side & F.coalesce(good, F.lit(False))
+    odd = lambda side, good: side & ~F.coalesce(good, F.lit(False))
+    counters = {
+        "burst_shape_eligible_event_count": ok, "lag_available_count": known, "lag_unavailable_count": ok & l.isNull(),
+        "within_one_frame_count": known & within, "positive_beyond_one_frame_count": later,
+        "positive_consistent_count": fits(later, shut), "positive_inconsistent_count": odd(later, shut),
+        "negative_beyond_one_frame_count": earlier, "negative_consistent_count": fits(earlier, opened), "negative_inconsistent_count": odd(earlier, opened),
+        "consistent_count": (known & within) | fits(later, shut) | fits(earlier, opened),
+        "inconsistent_count": odd(later, shut) | odd(earlier, opened),
+    }
+    return rows.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
+
+
 def direction_consistency(lag: str, shape: str, frame_ms: float) -> Column:
     """Does the mouth shape at the audio time fit the sign of the lag?"""
     l, s = F.col(lag), F.col(shape)

@@ -11,6 +11,7 @@ from lagledger.operators import ranking as rk
 from lagledger.operators import release as rl
 from lagledger.operators import sequence as seq
 from lagledger.operators.nearest import nearest_join, window_join
+from lagledger.operators.rules import reasons
 from lagledger.plans.catalogue import Catalogue
 from lagledger.plans.frames import (
     AFTER, BEFORE, EDGES_SQL, EDGE, FRAMES_SQL, LIMITS, PERIOD, QUALITY_SQL, WINDOW_SQL, edge_rows, frames, geometry,
@@ -376,6 +377,52 @@ def consistent(spark, folder):
     return rows.groupBy(an.direction_consistency("lag", "shape", 1.0).alias("state")).agg(F.count(F.lit(1)).alias("events"))
 
 
+@cat.query(
+    "p10_direction_counts",
+    f"""WITH {SHAPE_SQL}, l AS (SELECT user_id, coalesce(ok, false) AS ok, shape, CASE WHEN value < 100 THEN (t - audio_t) / 3.6e9 END AS lag FROM sh),
+d AS (SELECT user_id, ok, ok AND lag IS NOT NULL AS known, ok AND abs(lag) <= 1 AS w, ok AND lag > 1 AS p, ok AND lag < -1 AS m, shape = 'open' AS o FROM l)
+SELECT user_id, count(*) FILTER (ok) AS burst_shape_eligible_event_count, count(*) FILTER (known) AS lag_available_count, count(*) FILTER (ok AND NOT known) AS lag_unavailable_count, count(*) FILTER (w) AS within_one_frame_count,
+ count(*) FILTER (p) AS positive_beyond_one_frame_count, count(*) FILTER (p AND NOT o) AS positive_consistent_count, count(*) FILTER (p AND o) AS positive_inconsistent_count,
+ count(*) FILTER (m) AS negative_beyond_one_frame_count, count(*) FILTER (m AND o) AS negative_consistent_count, count(*) FILTER (m AND NOT o) AS negative_inconsistent_count,
+ count(*) FILTER (w OR (p AND NOT o) OR (m AND o)) AS consistent_count, count(*) FILTER ((p AND o) OR (m AND NOT o)) AS inconsistent_count FROM d GROUP BY 1""",
+)
+def direction_counters(spark, folder):
+    rows = shapes(spark, folder).withColumn("lag", F.when(F.col("value") < 100, F.col("error") * (PERIOD / 3.6e9)))
+    return an.direction_counts(rows, ["user_id"], "lag", "shape", 1.0, "shape_valid")
+
+
+# Clicks stand for acoustic estimates, the nearest view for the visual one; some were not measured, some have no visual row.
+RECORD_SQL = f"""c AS ({CLICK_SQL}), v AS ({VIEW_SQL}),
+n AS (SELECT c.event_id, v.t AS vt, v.event_id AS vid, v.value AS vv, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(v.t - c.t), v.t, v.event_id) AS rn FROM c JOIN v USING (user_id)),
+r AS (SELECT c.*, vt, vid, vv, c.event_id % 5 <> 0 AS seen FROM c LEFT JOIN n ON n.event_id = c.event_id AND rn = 1),
+m AS (SELECT *, value >= 10 AND seen AND vt IS NOT NULL AND coalesce(vid % 7 <> 0, false) AS ok FROM r)"""
+
+
+@cat.query(
+    "d12_combined_record",
+    f"""WITH {RECORD_SQL} SELECT event_id AS audio_id, ok AS measurable, CASE WHEN ok THEN round((vt - t) / 1000.0, 3) END AS lag_ms,
+ CASE WHEN ok THEN round(sqrt(power((1 + event_id % 4) / 2.0, 2) + power(CASE WHEN vid % 3 = 0 THEN 0 ELSE vv END, 2)), 6) END AS uncertainty_ms,
+ concat_ws(',', CASE WHEN value < 10 THEN 'weak' END, CASE WHEN user_id % 2 = 0 THEN 'even' END, CASE WHEN seen AND vt IS NULL THEN 'no_view' END, CASE WHEN seen AND vid % 7 = 0 THEN 'blurred' END,
+  CASE WHEN seen AND user_id % 4 = 1 THEN 'odd' END) AS reasons FROM m""",
+)
+def combined_record(spark, folder):
+    c = stream(spark, folder, "click").select("user_id", F.col("event_id").alias("audio_id"), "t", "value")
+    v = stream(spark, folder, "view").select("user_id", "t", F.col("event_id").alias("view_id"), "value")
+    near = cut_lineage(nearest_join(c, v, K, "t", DAILY, tie="view_id"))
+    user, seen = F.col("user_id"), F.col("match.view_id")
+    acoustic = near.select(
+        "audio_id", (F.col("value") >= 10).alias("measurable"), F.when(F.col("value") >= 5, F.col("t") / 1e6).alias("release_time_s"),
+        (F.col("audio_id") % 4 + 1).cast("double").alias("time_resolution_ms"), reasons((F.col("value") < 10, "weak"), (user % 2 == 0, "even")).alias("exclusion_reasons"),
+    )
+    visual = near.filter("audio_id % 5 != 0").select(
+        "audio_id", F.coalesce(seen % 7 != 0, F.lit(False)).alias("measurable"), (F.col("match.t") / 1e6).alias("release_time"),
+        F.when(seen % 3 != 0, F.col("match.value") / 1000.0).alias("uncertainty"),
+        reasons((user % 2 == 0, "even"), (seen.isNull(), "no_view"), (seen % 7 == 0, "blurred"), (user % 4 == 1, "odd")).alias("exclusion_reasons"),
+    )
+    out = rl.combine(acoustic, visual, "audio_id")
+    return out.select("audio_id", "measurable", F.round("release_lag_ms", 3).alias("lag_ms"), r6("lag_uncertainty_ms").alias("uncertainty_ms"), F.concat_ws(",", "exclusion_reasons").alias("reasons"))
+
+
 @cat.query(
     "a8_burst_shape_rates",
     f"""WITH {SHAPE_SQL} SELECT user_id AS speaker, count(*) AS shape_count, count(*) FILTER (shape = 'closed/contact') AS closed_count, count(*) FILTER (shape = 'transition') AS transition_count, count(*) FILTER (shape = 'open') AS open_count,

@@ -81,6 +81,7 @@ def test_release_is_found_near_the_burst(found):
     r = rows["single"]
     assert r["measurable"] and r["confidence"] == "high"
     assert abs(r["release_time_s"] - 0.350) < 0.004
+    assert r["time_resolution_ms"] == rl.ReleaseConfig().hop_ms
     assert r["candidates"][0]["attribution"] == "unbounded"
 
 
@@ -112,6 +113,20 @@ def test_burst_of_another_word_is_not_taken(found):
     assert rows["other_word"]["candidate_count"] > 0
 
 
+def test_combined_record_of_both_estimates(spark):
+    """Half the acoustic hop and the visual uncertainty in quadrature; one unmeasurable side leaves no lag."""
+    mine = spark.createDataFrame([("single", True, 0.35, 1.0, []), ("flat", False, None, 1.0, ["a", "b"]), ("blind", True, 0.4, 2.0, []), ("sharp", True, 0.5, 4.0, [])],
+        "event_id string, measurable boolean, release_time_s double, time_resolution_ms double, exclusion_reasons array<string>")
+    seen = spark.createDataFrame([("single", True, 0.36, 0.002, []), ("flat", True, 0.3, 0.01, ["b", "c"]), ("sharp", True, 0.49, None, [])],
+        "event_id string, measurable boolean, release_time double, uncertainty double, exclusion_reasons array<string>")
+    shapes = spark.createDataFrame([("single", "open")], "event_id string, shape string")
+    got = {r["event_id"]: r for r in rl.combine(mine, seen, "event_id", shapes).collect()}
+    assert got["single"]["release_lag_ms"] == pytest.approx(10.0) and got["single"]["lag_uncertainty_ms"] == pytest.approx(np.hypot(0.5, 2.0))
+    assert got["single"]["shape"] == "open" and got["sharp"]["lag_uncertainty_ms"] == pytest.approx(2.0) and got["sharp"]["release_lag_ms"] == pytest.approx(-10.0)
+    assert not got["flat"]["measurable"] and got["flat"]["release_lag_ms"] is None and got["flat"]["exclusion_reasons"] == ["a", "b", "c"]
+    assert not got["blind"]["measurable"] and got["blind"]["lag_uncertainty_ms"] is None
+
+
 def mouth(spark, closed, repeated=(), count=20, anchor=10 / 24):
     return [("e", i / 24, anchor, 0.010 if i in closed else 0.050, (0.010 if i in closed else 0.050) + 0.002, 0.002, 110.0, 0.9, True, i in repeated) for i in range(count)]
 
