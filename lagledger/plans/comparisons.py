@@ -15,6 +15,7 @@ from lagledger.plans.synchrony import LEDGER_SQL, LIMIT_US, MARGIN_MS, epochs_of
 from lagledger.session import cut_lineage
 
 cat = Catalogue()
+CAUTIONS_SQL = "'" + " | ".join(st.CAUTIONS).replace("'", "''") + "'"
 B = 200  # of the queries that SQL repeats draw by draw; the full ones take the published numbers
 ALL = ["stratum"]
 MASK = 4294967295
@@ -132,7 +133,7 @@ def exact(spark, folder):
 pw AS (SELECT avg(CASE WHEN a.median_lag_ms > b.median_lag_ms THEN 1.0 WHEN a.median_lag_ms = b.median_lag_ms THEN 0.5 ELSE 0.0 END) AS p FROM mid a JOIN mid b ON a.grp = 'candidate' AND b.grp = 'control')
 SELECT cn AS candidate_epoch_count, kn AS control_epoch_count, ce::BIGINT AS candidate_event_count, round(cm, 3) AS candidate_median_ms, round(cm - km, 3) AS median_difference_ms, round((cm - km) * 24 / 1000, 3) AS median_difference_frames,
  round((SELECT quantile_cont(d, 0.025) FROM bd), 3) AS ci_low, round(least(p, (SELECT avg((d > 0)::INT) FROM bd)), 6) AS probability, round(2 * p - 1, 6) AS cliffs_delta, round(cf, 6) AS candidate_fraction_over_margin,
- round((SELECT (count(*) FILTER (s >= o - 1e-12) + 1) / (count(*) + 1) FROM ps, po), 6) AS permutation_p FROM g, pw""",
+ round((SELECT (count(*) FILTER (s >= o - 1e-12) + 1) / (count(*) + 1) FROM ps, po), 6) AS permutation_p, {CAUTIONS_SQL} AS cautions FROM g, pw""",
 )
 def compared(spark, folder):
     c = st.compare_groups(all_epochs(spark, folder), ALL, margin_ms=MARGIN_MS, iterations=B, permutations=B, seed=1729, draws="hash")
@@ -141,7 +142,7 @@ def compared(spark, folder):
         "candidate_epoch_count", "control_epoch_count", "candidate_event_count", k("candidate_median_ms").alias("candidate_median_ms"),
         k("median_difference_ms").alias("median_difference_ms"), k("median_difference_frames").alias("median_difference_frames"),
         k("bootstrap_ci95.lo").alias("ci_low"), r6("probability_candidate_greater").alias("probability"), r6("cliffs_delta").alias("cliffs_delta"),
-        r6("candidate_fraction_over_margin").alias("candidate_fraction_over_margin"), r6("permutation_p").alias("permutation_p"),
+        r6("candidate_fraction_over_margin").alias("candidate_fraction_over_margin"), r6("permutation_p").alias("permutation_p"), F.concat_ws(" | ", "cautions").alias("cautions"),
     )
 
 
