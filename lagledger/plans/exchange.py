@@ -130,6 +130,35 @@ def streamed_bins(spark, folder):
     return back.select("user_id", "bin_start_us", F.round("energy_sum", 4).alias("energy_sum"), "sample_count")
 
 
+BIN = 6 * HOUR_US
+LATE_SQL = f"""e AS ({E_SQL}), m AS (SELECT max(t) FILTER (event_id % 10 <> 0) // 1000 * 1000 - {DAY_US} AS first, max(t) // 1000 * 1000 - {DAY_US} AS last FROM e),
+x AS (SELECT user_id, t // {BIN} * {BIN} AS b, value, event_id % 10 = 0 AND t // {BIN} * {BIN} + {BIN} <= first AS late, last FROM e, m),
+k AS (SELECT user_id, b, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS l, coalesce(sum(value * value) FILTER (NOT late), 0) AS e FROM x WHERE b + {BIN} <= last GROUP BY ALL),
+s AS (SELECT k.user_id, k.b, k.n, k.l, k.e + 0.75 * (coalesce(p.e, 0) + coalesce(q.e, 0)) AS es, k.n + 0.75 * (coalesce(p.n, 0) + coalesce(q.n, 0)) AS ns
+ FROM k LEFT JOIN k p ON p.user_id = k.user_id AND p.b = k.b - {BIN} LEFT JOIN k q ON q.user_id = k.user_id AND q.b = k.b + {BIN})"""
+
+
+@cat.query(
+    "r1_late_and_smoothed_bins",
+    f"""WITH {LATE_SQL} SELECT user_id, b AS bin_start_us, n AS sample_count, l AS late_count, CASE WHEN ns > 0 THEN round(10 * log10(greatest(es / ns, 1e-14)), 6) END AS level_db FROM s""",
+)
+def late_bins(spark, folder):
+    """A stream that stops and goes on with every tenth row, most of them behind the watermark by then."""
+    events = table(spark, folder, "events")
+    inbox, out, arrived = (fresh(spark, n) for n in ("inbox", "bins", "arrivals"))
+    marks = [fresh(spark, "checkpoint") for _ in range(2)]
+    for part, mode in (("event_id % 10 != 0", "error"), ("event_id % 10 = 0", "append")):
+        rows = events.filter(part).select("user_id", "ts", "value")
+        rows.write.mode(mode).parquet(inbox)
+        live = spark.readStream.schema(rows.schema).parquet(inbox)
+        bins.run_to_table(bins.stream_bins(live, "user_id", "ts", "value", width="6 hours", delay="1 day"), out, marks[0])
+        bins.count_arrivals(live, "user_id", "ts", "value", arrived, marks[1], width="6 hours")
+    emitted = spark.read.schema("user_id bigint, bin_start_us bigint, energy_sum double, sample_count bigint, peak double").parquet(out)
+    seen = spark.read.schema("user_id bigint, bin_start_us bigint, arrived bigint, latest_us bigint").parquet(arrived)
+    whole = bins.smooth_levels(bins.late_counts(emitted, seen, "user_id", width_us=BIN, delay_us=DAY_US), "user_id", BIN, [0.75, 1.0, 0.75])
+    return whole.select("user_id", "bin_start_us", "sample_count", "late_count", r6("level_db").alias("level_db"))
+
+
 def doubled_or_poisoned():
     """The work per event: twice the value; an event whose id is a multiple of 97 cannot be processed."""
     import pandas as pd
