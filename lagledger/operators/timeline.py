@@ -87,6 +87,56 @@ def frame_map_violations(
     return rows.unionByName(held.select(*keys, "at", F.lit("wrong_hold_count").alias("violation")))
 
 
+def section_violations(
+    frames: DataFrame, sections: DataFrame, keys: Sequence[str], index: str, order: str, ties: Sequence[str], count: str, slicing: Slicing, frame_slicing: Slicing
+) -> DataFrame:
+    """(key, position, violation, frames) of a frame map against the sections its manifest declares.
+
+    Sections (key, phase, event_id, declared count) follow one another in ``order`` from frame 0. A frame must carry phase and
+    event of the section its index falls into (``row_differs``), every section must find as many frames as declared
+    (``section_truncated`` counts those that lack), and no frame may lie behind the last section (``outside_sections``, position NULL).
+    """
+    from lagledger.operators.nearest import point_in_interval
+
+    n = F.col(count).cast("long")
+    laid = scan(sections, keys, order, slicing, ties=ties, running={"_stop": n}, index="position")
+    spans = laid.select(*keys, "position", F.col("phase").alias("_phase"), F.col("event_id").alias("_event"), (F.col("_stop") - n).alias("_start"), "_stop")
+    placed = point_in_interval(
+        frames.select(*keys, index, "phase", "event_id"), spans.filter("_stop > _start"), keys, index, "_start", "_stop", frame_slicing, tie="position", out="_in"
+    )
+    position = F.col("_in.position")
+    fits = F.col("phase").eqNullSafe(F.col("_in._phase")) & F.col("event_id").eqNullSafe(F.col("_in._event"))
+    seen = placed.groupBy(*keys, position.alias("position")).agg(F.count(F.lit(1)).alias("_have"), F.count_if(~fits).alias("_other"))
+    # One row per section on both sides; NULL keys count as a key.
+    declared = spans.select(*keys, "position", (F.col("_stop") - F.col("_start")).alias("_want"))
+    both = seen.withColumn("_want", F.lit(0).cast("long")).unionByName(
+        declared.withColumns({"_have": F.lit(0).cast("long"), "_other": F.lit(0).cast("long")})
+    ).groupBy(*keys, "position").agg(*[F.sum(c).alias(c) for c in ("_have", "_other", "_want")])
+    outside = F.col("position").isNull()
+    found = lambda name, frames: F.struct(F.lit(name).alias("violation"), frames.alias("frames"))
+    rules = F.array(
+        found("outside_sections", F.when(outside, F.col("_have"))), found("row_differs", F.when(~outside, F.col("_other"))),
+        found("section_truncated", F.when(~outside, F.col("_want") - F.col("_have"))),
+    )
+    return both.select(*keys, "position", F.explode(rules).alias("r")).select(*keys, "position", "r.*").filter("frames > 0")
+
+
+def marker_mapped(frames: DataFrame, markers: DataFrame, keys: Sequence[str], fps: float) -> DataFrame:
+    """(key, at, source_pts, violation or NULL) of each marker: the frame nearest to it on the output must show the release.
+
+    ``frames`` holds (key, index, output_pts, source_pts), ``markers`` one row per key with marker_output_s and release_s. Of
+    frames equally near the first counts, of repeated ones that of the smaller source time; a marker without frames is ``marker_missing``, one whose frame lies more than a frame
+    and 1 ms from the release is ``marker_shifted``.
+    """
+    near = (
+        frames.join(markers.select(*keys, "marker_output_s"), list(keys))
+        .groupBy(*keys).agg(F.min_by(F.struct("index", "source_pts"), F.struct(F.abs(F.col("output_pts") - F.col("marker_output_s")), "index", "source_pts")).alias("_at"))
+    )
+    out = markers.join(near, list(keys), "left")
+    wrong = F.when(F.col("_at").isNull(), "marker_missing").when(F.abs(F.col("_at.source_pts") - F.col("release_s")) > 1.0 / fps + 0.001, "marker_shifted")
+    return out.select(*keys, F.col("_at.index").alias("at"), F.col("_at.source_pts").alias("source_pts"), wrong.alias("violation"))
+
+
 def marker_violations(frames: DataFrame, events: DataFrame, event: str, fps: float) -> DataFrame:
     """Events whose marked frame is more than one frame from the release, or absent."""
     marked = frames.filter("marker").groupBy(event).agg(F.min("source_pts").alias("_at"))

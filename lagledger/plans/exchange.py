@@ -114,6 +114,33 @@ def frame_table(spark, folder):
     return spark.read.schema("clip_id bigint, frame_index bigint, group_id int").parquet(path)
 
 
+@cat.query(
+    "s10_clip_table",
+    f"""WITH v AS ({CLIPS_SQL}), s AS (SELECT clip_id, group_id, unnest(samples) AS x FROM v)
+SELECT clip_id, group_id, round(max(abs(x)), 6) AS peak, round(sqrt(avg(x * x)), 6) AS rms FROM s GROUP BY ALL""",
+)
+def clip_table(spark, folder):
+    path = fresh(spark, "clips")
+    x = clips(spark, folder).select("clip_id", "group_id", F.explode("samples").alias("x"))
+    own = x.groupBy("clip_id", "group_id").agg(r6(F.max(F.abs("x"))).alias("peak"), r6(F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("rms"))
+    sinks.write_clip_table(own, path)
+    return spark.read.schema("clip_id bigint, peak double, rms double, group_id int").parquet(path)
+
+
+@cat.query(
+    "s10_group_table",
+    """SELECT c_nationkey AS group_id, m.metric, count(*) AS clips, round(median(m.value), 4) AS median FROM (SELECT c_nationkey, unnest([{metric: 'balance', value: c_acctbal::DOUBLE}, {metric: 'name_length', value: length(c_name)::DOUBLE}]) AS m FROM customer) GROUP BY ALL""",
+)
+def group_table(spark, folder):
+    path = fresh(spark, "groups")
+    metric = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
+    c = table(spark, folder, "customer").select(
+        F.col("c_nationkey").alias("group_id"), F.inline(F.array(metric("balance", F.col("c_acctbal")), metric("name_length", F.length("c_name"))))
+    )
+    sinks.write_group_table(c.groupBy("group_id", "metric").agg(F.count("value").alias("clips"), F.round(F.median("value"), 4).alias("median")), path)
+    return spark.read.parquet(path)
+
+
 @cat.query(
     "r1_stream_bins",
     f"""WITH e AS ({E_SQL}), b AS (SELECT user_id, t // {6 * HOUR_US} * {6 * HOUR_US} AS bin_start_us, sum(value * value) AS e, count(*) AS n FROM e GROUP BY ALL)
@@ -277,6 +304,50 @@ def frame_map(spark, folder):
     return v.groupBy("user_id", "at", "violation").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Frames of a supplier in the order of its lines; an order's lines are two sections, and some counts are declared wrongly.
+SECTIONS_SQL = """l AS (SELECT l_suppkey AS k, l_orderkey AS e, CASE WHEN l_linenumber <= 3 THEN 'normal' ELSE 'slow' END AS phase, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem),
+s AS (SELECT k, e, phase, count(*) + CASE WHEN e % 500 = 0 THEN 1 WHEN e % 700 = 1 THEN -1 ELSE 0 END AS n FROM l GROUP BY k, e, phase),
+d AS (SELECT *, row_number() OVER w - 1 AS position, sum(n) OVER w - n AS lo, sum(n) OVER w AS hi FROM s WINDOW w AS (PARTITION BY k ORDER BY e, phase))"""
+
+
+@cat.query(
+    "w22_declared_sections",
+    f"""WITH {SECTIONS_SQL}, g AS (SELECT l.k, l.i, d.position, l.phase = d.phase AND l.e = d.e AS fits FROM l LEFT JOIN d ON d.k = l.k AND l.i >= d.lo AND l.i < d.hi),
+c AS (SELECT k, position, count(*) AS have, count(*) FILTER (NOT fits) AS other FROM g GROUP BY ALL)
+SELECT k, position, 'outside_sections' AS violation, have AS frames FROM c WHERE position IS NULL UNION ALL SELECT k, position, 'row_differs', other FROM c WHERE position IS NOT NULL AND other > 0
+UNION ALL SELECT d.k, d.position, 'section_truncated', (d.n - coalesce(c.have, 0))::BIGINT FROM d LEFT JOIN c ON c.k = d.k AND c.position = d.position WHERE d.n > coalesce(c.have, 0)""",
+)
+def declared_sections(spark, folder):
+    from lagledger.operators.scan import scan
+
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("event_id"), "l_linenumber", F.when(F.col("l_linenumber") <= 3, "normal").otherwise("slow").alias("phase")
+    )
+    by_order = Slicing(width=1_000_000)
+    frames = scan(lines, ["k"], "event_id", by_order, ties=["l_linenumber"], index="i")
+    e = F.col("event_id")
+    wrong = F.when(e % 500 == 0, 1).when(e % 700 == 1, -1).otherwise(0)
+    sections = lines.groupBy("k", "event_id", "phase").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n") + wrong)
+    return tl.section_violations(frames, sections, ["k"], "i", "event_id", ["phase"], "n", by_order, Slicing(width=100_000))
+
+
+@cat.query(
+    "w22_markers",
+    """WITH f AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber / 24.0::DOUBLE AS o, l_linenumber / 24.0::DOUBLE + l_discount::DOUBLE AS s FROM lineitem),
+m AS (SELECT o_orderkey AS k, (o_custkey % 8) / 24.0::DOUBLE + 0.01 AS marker, (o_custkey % 8) / 24.0::DOUBLE AS release FROM orders),
+n AS (SELECT f.k, f.i, f.s, row_number() OVER (PARTITION BY f.k ORDER BY abs(f.o - m.marker), f.i, f.s) AS rk FROM f JOIN m USING (k))
+SELECT m.k, n.i AS "at", round(n.s, 6) AS source_pts, CASE WHEN n.k IS NULL THEN 'marker_missing' WHEN abs(n.s - m.release) > 1 / 24.0::DOUBLE + 0.001 THEN 'marker_shifted' END AS violation FROM m LEFT JOIN n ON n.k = m.k AND rk = 1""",
+)
+def markers(spark, folder):
+    i = F.col("l_linenumber")
+    frames = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("k"), i.alias("index"), (i / F.lit(24.0)).alias("output_pts"), (i / F.lit(24.0) + F.col("l_discount").cast("double")).alias("source_pts")
+    )
+    base = (F.col("o_custkey") % 8) / F.lit(24.0)
+    asked = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), (base + 0.01).alias("marker_output_s"), base.alias("release_s"))
+    return tl.marker_mapped(frames, asked, ["k"], 24.0).select("k", "at", r6("source_pts").alias("source_pts"), "violation")
+
+
 @cat.query(
     "j17_phase_lookup",
     """WITH o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 1000)::BIGINT + 1 AS n FROM orders), c AS (SELECT *, sum(n + 10) OVER w - 10 AS f FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),

@@ -150,6 +150,37 @@ def test_lag_correlation_finds_the_shift(spark):
     assert p["alignment_lag"] == 0 and p["passed"] and p["normalized_rmse"] < 1e-9
 
 
+def test_preservation_joins_channels_of_a_shifted_pair(spark):
+    rng = np.random.default_rng(1)
+    low = lambda: np.convolve(rng.normal(size=5400), np.ones(16) / 16, "valid")[:5200]
+    a, b = low(), low()
+    rows = [([v[40:5000].tolist() for v in (a, b)], [v[:5000].tolist() for v in (a, b)]), ([a[:5000].tolist(), (b[:5000] / 2).tolist()], [a[:5000].tolist(), (-b[:5000] / 2).tolist()])]
+    df = spark.createDataFrame(rows, "r array<array<double>>, o array<array<double>>")
+    shifted, flipped = signal.preservation(df, "r", "o").collect()
+    assert shifted["alignment_lag"] == 40 and shifted["passed"] and shifted["normalized_rmse"] < 1e-9
+    assert not flipped["passed"] and abs(flipped["rms_delta_db"]) < 1e-6  # one channel is wrong, so the pair is
+
+
+def test_sections_and_markers_of_a_frame_map(spark):
+    frames = [(None, i, "intro" if i < 2 else "normal" if i < 5 else "gap", None if i < 2 else "e") for i in range(6)]
+    declared = [(None, 0, "intro", None, 2), (None, 1, "normal", "e", 3), (None, 2, "gap", "e", 1)]
+    check = lambda rows, sections: sorted(
+        tuple(r)[1:] for r in timeline.section_violations(
+            spark.createDataFrame(rows, "k string, i long, phase string, event_id string"),
+            spark.createDataFrame(sections, "k string, o long, phase string, event_id string, n long"), ["k"], "i", "o", [], "n", Slicing(width=2), Slicing(width=2),
+        ).collect()
+    )
+    assert check(frames, declared) == []
+    assert check(frames[:-1], declared) == [(2, "section_truncated", 1)]
+    assert check(frames, declared[:-1]) == [(None, "outside_sections", 1)]
+    assert check(frames, [declared[0], (None, 1, "normal", "f", 3), declared[2]]) == [(1, "row_differs", 3)]
+    fr = spark.createDataFrame([("e", i, i / 24, 1.0 + i / 24) for i in range(5)] + [("f", 0, 0.0, 1.0)], "k string, index long, output_pts double, source_pts double")
+    mk = spark.createDataFrame([("e", 2 / 24, 1.0 + 3 / 24), ("f", 0.0, 1.1), ("g", 0.0, 1.0)], "k string, marker_output_s double, release_s double")
+    assert sorted((r["k"], r["at"], r["violation"]) for r in timeline.marker_mapped(fr, mk, ["k"], 24.0).collect()) == [
+        ("e", 2, None), ("f", 0, "marker_shifted"), ("g", None, "marker_missing")
+    ]
+
+
 def test_frame_map_tamper(spark):
     good = [(i, i / 24, "normal", "e", i) for i in range(4)] + [(4 + i, (4 + i) / 24, "slow", "e", i // 4) for i in range(8)] + [(12, 0.5, "gap", None, 1)]
     schema = "i long, pts double, phase string, event_id string, source_index long"
