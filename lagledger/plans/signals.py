@@ -497,7 +497,7 @@ def preserved(spark, folder):
 
 @cat.query(
     "j20_stereo_preservation",
-    f"""WITH {PREV_SQL}, z AS (SELECT vec_id, unnest(a) AS x1, unnest(b) AS x2, unnest(list_transform(list_zip(a, b), lambda z: z[1] + 0.3 * z[2])) AS y1, unnest(list_transform(b, lambda z: 0.95 * z + 0.01)) AS y2, unnest(range(64)) AS i FROM n),
+    f"""WITH {PREV_SQL}, z AS (SELECT vec_id, unnest(a) AS x1, unnest(b) AS x2, unnest(list_transform(list_zip(a, b), lambda z: z[1] + 0.36 * z[2])) AS y1, unnest(list_transform(b, lambda z: 0.95 * z + 0.01)) AS y2, unnest(range(64)) AS i FROM n),
 m AS (SELECT vec_id, covar_pop(x1, y1) + covar_pop(x2, y2) AS c, (var_pop(x1) + var_pop(x2)) * (var_pop(y1) + var_pop(y2)) AS v, avg(x1 * x1 + x2 * x2) / 2 AS xx, avg(y1 * y1 + y2 * y2) / 2 AS yy,
  avg((y1 - x1) ** 2 + (y2 - x2) ** 2) / 2 AS d FROM z WHERE i BETWEEN 6 AND 57 GROUP BY 1)
 SELECT vec_id, 0::BIGINT AS alignment_lag, round(c / sqrt(v), 6) AS correlation, round(10 * log10(yy / xx), 6) AS rms_delta_db, round(sqrt(d / xx), 6) AS nrmse,
@@ -505,7 +505,7 @@ SELECT vec_id, 0::BIGINT AS alignment_lag, round(c / sqrt(v), 6) AS correlation,
 )
 def preserved_stereo(spark, folder):
     """Two channels a window, one joint figure."""
-    left = F.zip_with("a", "b", lambda x, y: x + 0.3 * y)
+    left = F.zip_with("a", "b", lambda x, y: x + 0.36 * y)
     n = neighbours(spark, folder).select(
         "vec_id", F.array("a", "b").alias("ref"), F.array(left, F.transform("b", lambda x: 0.95 * x + 0.01)).alias("out")
     )
