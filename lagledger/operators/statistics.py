@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lagledger.operators.labelings import share_of_labelings, tail_of_labelings
-from lagledger.operators.quantiles import quantiles
+from lagledger.operators.quantiles import HOT_ROWS, quantiles
 from lagledger.operators.scan import Slicing, given_keys, plain_keys, scan
+from lagledger.session import cut_lineage
 
 # One cell per group; a group above max_rows is cut at value quantiles.
 BY_VALUE = Slicing(width=1e300)
@@ -23,6 +24,11 @@ WHOLE_ROWS = 130  # whole numbers of 38 digits hold all labelings
 EXACT_MEDIAN_ROWS = 10_000
 RANKS = 64  # lower ranks per row of the pair table
 DRAWS = 5_000  # draws per block of random numbers
+RANK_BLOCK = 65_536  # ranks per row of work of the hash draws
+BLOCKS = 32  # such rows per task
+SPREAD = 6.0  # standard deviations from the middle of a bracket to its ends
+MASK = 4294967295
+MIDDLES = ["_c0", "_c1", "_k0", "_k1"]  # central ranks of the candidates and of the controls
 # The cautions that every comparison carries.
 CAUTIONS = (
     "Epochs, not phoneme tokens, are the comparison unit to reduce pseudoreplication.",
@@ -57,10 +63,112 @@ def mix32(value: Column) -> Column:
 
 def draw(seed: int | Column, replicate: Column, slot: Column) -> Column:
     """32-bit draw for (seed, replicate, slot); independent of partitioning."""
-    mask = F.lit(4294967295)
+    return _slot_draw(_stream(seed, replicate), slot)
+
+
+def _stream(seed: int | Column, replicate: Column) -> Column:
     start = seed if isinstance(seed, Column) else F.lit(seed)
-    first = mix32((replicate.cast("long") * F.lit(31) + start).bitwiseAND(mask))
-    return mix32(first.bitwiseXOR(mix32(slot.cast("long").bitwiseAND(mask))))
+    return mix32((replicate.cast("long") * F.lit(31) + start).bitwiseAND(F.lit(MASK)))
+
+
+def _slot_draw(stream: Column, slot: Column) -> Column:
+    return mix32(stream.bitwiseXOR(mix32(slot.cast("long").bitwiseAND(F.lit(MASK)))))
+
+
+def _replicates(sizes: DataFrame, iterations: int, seed: int | Column) -> DataFrame:
+    """One row per group and replicate: the columns of ``sizes``, _b and _stream, the replicate's part of every hash."""
+    b = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
+    return sizes.withColumn("_b", b).withColumn("_stream", _stream(seed, F.col("_b")))
+
+
+def _hashed(wanted: DataFrame, upto: Column) -> DataFrame:
+    """One row per replicate and rank below ``upto``, with its draw ``_u``.
+
+    Draws depend on ranks only, so no value travels: blocks of ranks are dealt out evenly, whatever the groups, and each
+    task makes its ranks itself.
+    """
+    blocks = F.ceil(upto / F.lit(RANK_BLOCK))
+    number = wanted.agg(F.sum(blocks)).first()[0] or 0
+    first = F.col("_block") * F.lit(RANK_BLOCK)
+    ranks = F.sequence(first, F.least(first + F.lit(RANK_BLOCK), upto) - F.lit(1))
+    work = wanted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - F.lit(1))))
+    dealt = work.repartition(max(1, -(-number // BLOCKS))).withColumn("_rank", F.explode(ranks))
+    return dealt.withColumn("_u", _slot_draw(F.col("_stream"), F.col("_rank")))
+
+
+def _places(counts: DataFrame, by: list[str], places: dict[str, Column]) -> DataFrame:
+    """The value at each place (from 0) of every ``by``, from counts ``_w`` per value ``_x``; NULL where it is not held.
+
+    A NULL ``_x`` counts what lies below all others without naming it.
+    """
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_upto", F.sum("_w").over(order))
+    holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_w") <= r)
+    return upto.groupBy(*by).agg(*[F.max(F.when(holds(r), F.col("_x"))).alias(n) for n, r in places.items()])
+
+
+def _in_brackets(wanted: DataFrame, by: list[str], find: Callable[[DataFrame], DataFrame], whole: dict[str, Column]) -> DataFrame:
+    """``find(wanted)``; replicates whose bracket did not hold all places are found again with the ``whole`` range."""
+    found = cut_lineage(find(wanted))
+    found = found.dropna(subset=[c for c in found.columns if c not in by])
+    missed = wanted.join(found.select(*by), by, "left_anti")
+    return found if missed.isEmpty() else found.unionByName(find(missed.withColumns(whole)))
+
+
+def _resampled_middles(sizes: DataFrame, by: list[str], iterations: int, seed: int | Column) -> DataFrame:
+    """(by, _b, _lo, _hi): the middle ranks that each resample picks.
+
+    A resample's middle pick lies near n / 2, at a standard deviation of sqrt(n) / 2 ranks: picks below a bracket are only
+    counted, those inside are ordered, those above are dropped.
+    """
+    n, one = F.col("_n"), [*by, "_b"]
+    half = F.sqrt(n) * F.lit(SPREAD / 2) + F.lit(2)
+    pick = F.floor(F.col("_u") * n / F.lit(4294967296.0))
+
+    def find(wanted: DataFrame) -> DataFrame:
+        picks = _hashed(wanted, n).withColumn("_pick", pick).filter(F.col("_pick") <= F.col("_to"))
+        named = F.when(F.col("_pick") >= F.col("_from"), F.col("_pick")).alias("_x")
+        counts = picks.groupBy(*one, "_n", named).agg(F.count(F.lit(1)).alias("_w"))
+        return _places(counts, [*one, "_n"], {"_lo": F.floor((n - 1) / 2), "_hi": F.ceil((n - 1) / 2)}).drop("_n")
+
+    bracket = {"_from": F.floor(n / 2 - half), "_to": F.ceil(n / 2 + half)}
+    return _in_brackets(_replicates(sizes, iterations, seed).withColumns(bracket), one, find, {"_from": F.lit(0).cast("long"), "_to": n})
+
+
+def _hashed_labelings(sizes: DataFrame, keys: list[str], iterations: int, seed: int | Column) -> DataFrame:
+    """(keys, _b, _c0, _c1, _k0, _k1): the middle ranks of both sides of each labeling.
+
+    The k rows with the smallest draws are the candidates. The kth smallest draw is looked for in a bracket round
+    k / n; knowing it, a rank tells its side by itself, and the middle ranks of both sides are looked for round n / 2.
+    """
+    n, k, one = F.col("_n"), F.col("_k"), [*keys, "_b"]
+    u, rank = F.col("_u"), F.col("_rank")
+    first, last = F.col("_from"), F.col("_to")
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        named = F.when(u >= first, F.struct("_u", "_rank")).alias("_x")
+        counts = _hashed(wanted, n).filter(u <= last).groupBy(*one, "_n", "_k", "_stream", named).agg(F.count(F.lit(1)).alias("_w"))
+        return _places(counts, [*one, "_n", "_k", "_stream"], {"_cut": k - 1})
+
+    p = k / n
+    half = (F.sqrt(p * (F.lit(1) - p) / n) * F.lit(SPREAD) + F.lit(SPREAD * SPREAD) / n) * F.lit(4294967296.0)
+    middle = p * F.lit(4294967296.0)
+    bracket = {"_from": F.floor(middle - half), "_to": F.ceil(middle + half)}
+    drawn = _replicates(sizes.select(*keys, "_n", "_k"), iterations, seed).withColumns(bracket)
+    cuts = _in_brackets(drawn, one, cut, {"_from": F.lit(0).cast("long"), "_to": F.lit(MASK)})
+
+    def middles(wanted: DataFrame) -> DataFrame:
+        mine = (u < F.col("_cut._u")) | ((u == F.col("_cut._u")) & (rank <= F.col("_cut._rank")))
+        rows = _hashed(wanted, last + 1).withColumn("_in", mine)
+        counts = rows.groupBy(*one, "_n", "_k", "_in", F.when(rank >= first, rank).alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
+        m = F.when(F.col("_in"), k).otherwise(n - k)
+        sides = _places(counts, [*one, "_n", "_k", "_in"], {"_lo": F.floor((m - 1) / 2), "_hi": F.floor(m / 2)})
+        side = lambda c, own: F.max(F.when(F.col("_in") == F.lit(own), F.col(c)))
+        return sides.groupBy(*one).agg(side("_lo", True).alias("_c0"), side("_hi", True).alias("_c1"), side("_lo", False).alias("_k0"), side("_hi", False).alias("_k1"))
+
+    half = n / F.sqrt(F.least(k, n - k)) * F.lit(SPREAD / 2) + F.lit(2)
+    bracket = {"_from": F.greatest(F.floor(n / 2 - half), F.lit(0)), "_to": F.least(F.ceil(n / 2 + half), n - 1)}
+    return _in_brackets(cuts.withColumns(bracket), one, middles, {"_from": F.lit(0).cast("long"), "_to": n - 1})
 
 
 def _central(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,30 +259,26 @@ def bootstrap_median_difference(
     Values get a dense rank per group, and a resample's median needs only its
     two middle ranks. ``draws="ranks"`` draws those two directly, whatever the
     number of rows; ``"hash"`` draws every row of every resample from a hash
-    that SQL can repeat, which costs rows x iterations.
+    that SQL can repeat: rows x iterations draws in tasks of equal size, of
+    which only those near the middle are kept.
     """
     keys = list(keys)
     by = [*keys, group]
-    ranked = scan(
-        values.filter(F.col(value).isNotNull()).select(*by, value), by, value, BY_VALUE, index="_rank"
-    )
-    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    known = values.filter(F.col(value).isNotNull()).select(*by, value)
+    ranked = scan(known, by, value, BY_VALUE, index="_rank")
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     if draws == "ranks":
         def kernel(rng, n):
             return [np.minimum((u * n).astype(np.int64), n - 1) for u in _middle_uniforms(rng, n)]
 
         middle = _drawn(sizes, by, iterations, seed, ["_lo", "_hi"], kernel)
-        return _bootstrap_interval(middle, ranked, keys, by, group, value)
-    drawn = (
-        ranked.select(*by, "_rank")
-        .join(sizes, by)
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-        .withColumn("_pick", F.floor(draw(seed, F.col("_b"), F.col("_rank")) * F.col("_n") / F.lit(4294967296.0)))
-    )
-    return _bootstrap_interval(_middle_ranks(drawn, by), ranked, keys, by, group, value)
+    else:
+        sizes = cut_lineage(sizes.filter(F.col(group).isin("candidate", "control")))
+        middle = _resampled_middles(sizes, by, iterations, seed)
+    return _bootstrap_interval(middle, ranked, keys, by, group, value, iterations)
 
 
-def _bootstrap_interval(middle: DataFrame, ranked: DataFrame, keys: list[str], by: list[str], group: str, value: str) -> DataFrame:
+def _bootstrap_interval(middle: DataFrame, ranked: DataFrame, keys: list[str], by: list[str], group: str, value: str, iterations: int) -> DataFrame:
     looked = middle.select(*by, "_b", F.explode(F.array("_lo", "_hi")).alias("_rank")).join(
         ranked, [*by, "_rank"]
     ).groupBy(*by, "_b").agg(F.avg(value).alias("_m"))
@@ -185,17 +289,7 @@ def _bootstrap_interval(middle: DataFrame, ranked: DataFrame, keys: list[str], b
     return quantiles(
         pairs.filter(F.col("_d").isNotNull()), keys, "_d", {"ci_low": 0.025, "ci_high": 0.975},
         extra=[F.avg((F.col("_d") > 0).cast("double")).alias("bootstrap_share_above_zero")],
-    )
-
-
-def _middle_ranks(drawn: DataFrame, by: list[str]) -> DataFrame:
-    counts = drawn.groupBy(*by, "_b", "_n", "_pick").agg(F.count(F.lit(1)).alias("_w"))
-    order = Window.partitionBy(*by, "_b").orderBy("_pick").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("_upto", F.sum("_w").over(order))
-    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
-    holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_w") <= r)
-    return upto.groupBy(*by, "_b").agg(
-        F.max(F.when(holds(lo), F.col("_pick"))).alias("_lo"), F.max(F.when(holds(hi), F.col("_pick"))).alias("_hi")
+        max_rows=None if iterations <= HOT_ROWS else HOT_ROWS,
     )
 
 
@@ -226,7 +320,7 @@ def label_permutation(
     takes the k rows with the smallest draws of a hash that SQL can repeat.
     """
     keys = list(keys)
-    pool = _ranked_pool(values, keys, group, value).filter((F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
+    pool = cut_lineage(_ranked_pool(values, keys, group, value).filter((F.col("_k") > 0) & (F.col("_k") < F.col("_n"))))
     few = pool.filter(labelings(F.col("_n"), F.col("_k")) <= EXACT_LABELINGS)
     many = pool.filter(labelings(F.col("_n"), F.col("_k")) > EXACT_LABELINGS)
 
@@ -238,24 +332,9 @@ def label_permutation(
 
     if draws == "ranks":
         random = _random_labelings(many, keys, iterations, seed)
-        return exact.unionByName(random).withColumn("permutation_p", (F.col("hits") + 1) / (F.col("total") + 1))
-    rows = many.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn(
-        "_u", draw(seed, F.col("_b"), F.col("_rank"))
-    )
-    by_draw = Window.partitionBy(*keys, "_b").orderBy("_u", "_rank")
-    chosen = rows.withColumn("_in", F.row_number().over(by_draw) <= F.col("_k"))
-    by_rank = Window.partitionBy(*keys, "_b", "_in").orderBy("_rank")
-    placed = chosen.withColumn("_at", F.row_number().over(by_rank) - 1).withColumn(
-        "_m", F.when(F.col("_in"), F.col("_k")).otherwise(F.col("_n") - F.col("_k"))
-    )
-    central = (F.col("_at") == F.floor((F.col("_m") - 1) / 2)) | (F.col("_at") == F.ceil((F.col("_m") - 1) / 2))
-    medians = placed.filter(central).groupBy(*keys, "_b", "_observed").agg(
-        (F.avg(F.when(F.col("_in"), F.col("_v"))) - F.avg(F.when(~F.col("_in"), F.col("_v")))).alias("_stat")
-    )
-    random = medians.groupBy(*keys).agg(
-        F.count_if(F.col("_stat") >= F.col("_observed") - F.lit(1e-12)).alias("hits"),
-        F.count(F.lit(1)).alias("total"),
-    )
+    else:
+        sizes = cut_lineage(many.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_k").alias("_k")))
+        random = _labeling_hits(_hashed_labelings(sizes, keys, iterations, seed), many, keys)
     return exact.unionByName(random).withColumn("permutation_p", (F.col("hits") + 1) / (F.col("total") + 1))
 
 
@@ -268,9 +347,12 @@ def _random_labelings(pool: DataFrame, keys: list[str], iterations: int, seed: i
         a, b = _others_below(rng, mine, theirs, n - k), _others_below(rng, theirs, mine, k)
         return [r + c for r, c in zip((*_central(k), *_central(n - k)), (*a, *b))]
 
-    ranks = ["_c0", "_c1", "_k0", "_k1"]
-    at = _drawn(sizes, keys, iterations, seed, ranks, kernel)
-    sides = F.array(*[F.struct(F.lit(r < "_d").alias("mine"), F.col(r).alias("_rank")) for r in ranks])
+    return _labeling_hits(_drawn(sizes, keys, iterations, seed, MIDDLES, kernel), pool, keys)
+
+
+def _labeling_hits(at: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hits, total) from the middle ranks of both sides of each labeling."""
+    sides = F.array(*[F.struct(F.lit(r < "_d").alias("mine"), F.col(r).alias("_rank")) for r in MIDDLES])
     looked = at.select(*keys, "_b", F.explode(sides).alias("_side")).select(*keys, "_b", "_side.mine", "_side._rank").join(pool.select(*keys, "_rank", "_v", "_observed"), [*keys, "_rank"])
     stats = looked.groupBy(*keys, "_b").agg(
         (F.avg(F.when(F.col("mine"), F.col("_v"))) - F.avg(F.when(~F.col("mine"), F.col("_v")))).alias("_stat"), F.max("_observed").alias("_observed")
@@ -406,7 +488,7 @@ def compare_groups(
     """Medians, difference, effect size, interval and permutation share per key.
 
     A key with one group only keeps its counts and has NULL comparisons. The
-    reported probability is the smaller of the pairwise and bootstrap ones. Every row carries the fixed cautions.
+    reported probability is the smaller of the pairwise and bootstrap ones. Every row carries the fixed cautions in one text.
     """
     keys = list(keys)
     sides = []
@@ -450,7 +532,7 @@ def compare_groups(
         "permutation_p",
         F.when(both, F.col("candidate_fraction_over_margin")).alias("candidate_fraction_over_margin"),
         F.when(both, F.col("control_fraction_over_margin")).alias("control_fraction_over_margin"),
-        F.array(*[F.lit(c) for c in CAUTIONS]).alias("cautions"),
+        F.lit(" | ".join(CAUTIONS)).alias("cautions"),
     )
 
 

@@ -142,7 +142,7 @@ def compared(spark, folder):
         "candidate_epoch_count", "control_epoch_count", "candidate_event_count", k("candidate_median_ms").alias("candidate_median_ms"),
         k("median_difference_ms").alias("median_difference_ms"), k("median_difference_frames").alias("median_difference_frames"),
         k("bootstrap_ci95.lo").alias("ci_low"), r6("probability_candidate_greater").alias("probability"), r6("cliffs_delta").alias("cliffs_delta"),
-        r6("candidate_fraction_over_margin").alias("candidate_fraction_over_margin"), r6("permutation_p").alias("permutation_p"), F.concat_ws(" | ", "cautions").alias("cautions"),
+        r6("candidate_fraction_over_margin").alias("candidate_fraction_over_margin"), r6("permutation_p").alias("permutation_p"), "cautions",
     )
 
 
