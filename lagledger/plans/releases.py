@@ -299,7 +299,8 @@ def accepted(spark, folder):
 
 @cat.query(
     "p21_scope_end",
-    f"WITH e AS ({E_SQL}) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN CASE WHEN value >= 20 THEN 20.0 END END AS scope_end FROM e",
+    f"""WITH e AS ({E_SQL}), s AS (SELECT event_id, value, coalesce(CASE event_id % 3 WHEN 1 THEN 20.0::DOUBLE WHEN 2 THEN -1.0::DOUBLE END, value) AS stop FROM e)
+SELECT event_id, CASE WHEN isfinite(stop) AND stop > 0 AND stop <= value + 1e-6::DOUBLE THEN least(stop, value) END AS scope_end FROM s""",
 )
 def scope_ends(spark, folder):
     m = F.col("event_id") % 3
