@@ -41,7 +41,10 @@ def jump_flags(
     df: DataFrame, keys: Sequence[str], order: str, value: str, fraction: float, slicing: Slicing,
     *, ties: Sequence[str] = (), name: str = "jump",
 ) -> DataFrame:
-    """Mark both rows of a neighbouring pair whose relative change is above ``fraction``."""
+    """Mark both rows of a neighbouring pair whose relative change is above ``fraction``.
+
+    A pair with a NULL or a value that is not above 0 is skipped.
+    """
     wide = scan(
         df, keys, order, slicing, ties=ties,
         before={"_was": F.col(value)}, after={"_next": F.col(value)},

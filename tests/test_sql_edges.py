@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["p21_scope_end"])
+@pytest.mark.parametrize("name", ["p21_scope_end", "w1_jump_flags"])
 def test_same_rule(spark, folder, name):
     df = QUERIES[name](spark, folder)
     con = duckdb.connect()
