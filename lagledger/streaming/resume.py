@@ -28,39 +28,71 @@ def result_schema(made: StructType) -> StructType:
 def attempt(events: DataFrame, key: str, process: Process, made: StructType) -> DataFrame:
     """One row per event: the columns of ``made`` and status ``done``, or the key, ``processing_error`` and the error.
 
-    ``process`` takes many events as a pandas frame and returns a row for each. A batch that raises is halved until the
-    events that fail stand alone, so one bad event among n costs about 2 log2 n more calls and no other event is lost.
-    An event without a key, or for which no row comes back, is an error row as well. ``made`` must hold the key.
+    ``process`` takes many events as a pandas frame and returns a row for each. In events that raise together the first one
+    that fails is found by halving, what lies before it is kept, and the search goes on behind it with as many events as
+    lay between failures so far: an event that fails costs about log2 of that distance more calls, and no other event is
+    lost. An event without a key, or for which no row comes back, is an error row as well. ``made`` must hold the key.
     """
     schema, names = result_schema(made), made.fieldNames()
 
-    def failed(frame: pd.DataFrame, why: str) -> pd.DataFrame:
+    def failed(frame: pd.DataFrame, why: object) -> pd.DataFrame:
         return pd.DataFrame({**{n: [None] * len(frame) for n in names}, key: frame[key].to_numpy(), "status": FAILED, "error": why})
 
-    def tried(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        try:
-            out = process(frame)
-        except Exception as error:  # whatever an event's data may raise
-            if len(frame) == 1:
-                yield failed(frame, f"{type(error).__name__}: {error}")
-                return
-            half = len(frame) // 2
-            yield from tried(frame.iloc[:half])
-            yield from tried(frame.iloc[half:])
-            return
-        yield out[names].assign(status=DONE, error=None)
-        lost = frame[~frame[key].isin(out[key])]
+    def tried(frame: pd.DataFrame, seen: dict[str, int]) -> Iterator[pd.DataFrame]:
+        alike: dict[tuple, list[pd.DataFrame]] = {}  # results by column types, so that none is widened
+        why: dict[int, str] = {}
+
+        def fails(first: int, stop: int) -> str | None:
+            try:
+                out = process(frame.iloc[first:stop])
+            except Exception as error:  # whatever an event's data may raise
+                return f"{type(error).__name__}: {error}"
+            out = out[names]
+            alike.setdefault(tuple(out.dtypes), []).append(out)
+            return None
+
+        at, size = 0, max(1, seen["events"] // seen["failed"]) if seen["failed"] else len(frame)
+        while at < len(frame):
+            first, stop = at, min(len(frame), at + size)
+            error = fails(first, stop)
+            at, size = stop, 2 * size
+            if error is None:
+                continue
+            known = stop  # where the latest failing call ended
+            while stop - first > 1:
+                middle = (first + stop) // 2
+                if (here := fails(first, middle)) is None:
+                    first = middle
+                    known = None
+                else:
+                    stop = known = middle
+                    error = here
+            if known is None:  # not yet called by itself
+                error = fails(first, stop)
+            if error is not None:
+                why[first] = error
+                seen["failed"] += 1
+            at, size = stop, max(1, (seen["events"] + stop) // max(1, seen["failed"]))
+        seen["events"] += len(frame)
+        for parts in alike.values():
+            yield pd.concat(parts, ignore_index=True).assign(status=DONE, error=None)
+        if why:
+            yield failed(frame.iloc[list(why)], list(why.values()))
+        made_keys = {k for parts in alike.values() for part in parts for k in part[key]}
+        rest = frame.drop(frame.index[list(why)])
+        lost = rest[~rest[key].isin(made_keys)]
         if len(lost):
             yield failed(lost, "no result")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = {"events": 0, "failed": 0}
         for frame in frames:
             nameless = frame[key].isna()
             if nameless.any():
                 yield failed(frame[nameless], "no key")
                 frame = frame[~nameless]
             if len(frame):
-                yield from tried(frame)
+                yield from tried(frame.reset_index(drop=True), seen)
 
     return events.mapInPandas(run, schema)
 

@@ -71,3 +71,34 @@ def test_a_batch_run_again_leaves_the_same_rows(spark, tmp_path):
     sink.write(spark.createDataFrame([(2, 4.0), (3, 9.0)], INPUT), "s", 1)
     sink.write(first, "s", 0)  # replayed late
     assert sorted((r["event_id"], r["batch_id"]) for r in sink.results(spark).collect()) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_failing_events_cost_few_calls(spark, tmp_path):
+    """One of 97 events fails: halving every batch took some 18 calls for each of them."""
+    folder = str(tmp_path)
+
+    def counting():
+        def root(frame):
+            with open(f"{folder}/calls", "a") as f:
+                f.write(".")
+            if (frame["event_id"] % 97 == 0).any():
+                raise ValueError("poisoned event")
+            return pd.DataFrame({"event_id": frame["event_id"], "root": frame["value"] * 2})
+
+        return root
+
+    df = spark.range(1, 20_001, 1, 1).selectExpr("id AS event_id", "CAST(id AS double) AS value")
+    got = rows(attempt(df, "event_id", counting(), MADE).coalesce(1))
+    want = {(k, None, "processing_error", "ValueError: poisoned event") if k % 97 == 0 else (k, 2.0 * k, "done", None) for k in range(1, 20_001)}
+    assert got == want
+    assert len(open(f"{folder}/calls").read()) <= 10 * (20_000 // 97)
+
+
+def test_events_that_fail_only_together_are_kept(spark):
+    def process(frame):
+        if len(frame) > 1:
+            raise ValueError("one at a time")
+        return pd.DataFrame({"event_id": frame["event_id"], "root": frame["value"]})
+
+    df = spark.range(0, 30, 1, 1).selectExpr("id AS event_id", "CAST(id AS double) AS value")
+    assert rows(attempt(df, "event_id", process, MADE)) == {(k, float(k), "done", None) for k in range(30)}
