@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagledger.operators.scan import CELL, PART, Slicing, plain_keys, slice_rows
+from lagledger.operators.scan import CELL, PART, Slicing, dealt_slices, measure, plain_keys, slice_rows
 
 
 def nearest_join(
@@ -38,8 +38,12 @@ def nearest_join(
         F.lit(None).cast("long").alias("_tie"),
     )
     rights = right.select(*keys, F.col(time), payload.alias(side), F.col(tie).cast("long").alias("_tie"))
-    rows, own = plain_keys(slice_rows(lefts.unionByName(rights, allowMissingColumns=True), keys, time, slicing), keys)
+    merged = lefts.unionByName(rights, allowMissingColumns=True)
+    if not slicing.measured:
+        slicing = measure(merged, keys, time, slicing)
+    rows, own = plain_keys(slice_rows(merged, keys, time, slicing), keys)
     by = [*own, CELL, PART]
+    rows = dealt_slices(rows, own, slicing)
     # Right rows come first at equal times (their tie is not NULL), the smallest
     # tie last, so "last seen" is the wanted one. strict puts them after.
     if strict:

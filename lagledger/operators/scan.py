@@ -31,6 +31,8 @@ class Slicing:
 
     At most ``total rows / max_rows`` cells are cut again, which bounds the
     broadcast cut table: 10^12 rows give 50 000 cells of 64 numbers (25 MB).
+    ``tasks`` deals the rows of the windows to so many tasks; without it the
+    session decides, which does not look at the number of rows.
     """
 
     width: float
@@ -38,6 +40,17 @@ class Slicing:
     parts: int = 64
     measured: bool = False
     cuts: DataFrame | None = None
+    tasks: int | None = None
+
+
+def dealt(df: DataFrame, by: Sequence[str], tasks: int | None) -> DataFrame:
+    """Rows hashed by ``by`` into ``tasks`` partitions; as they are where the session decides."""
+    return df if tasks is None else df.repartition(tasks, *by)
+
+
+def dealt_slices(rows: DataFrame, own: Sequence[str], slicing: Slicing) -> DataFrame:
+    """Slices of a measured slicing in its tasks. Without cuts the part is a constant, which Spark's windows leave out."""
+    return dealt(rows, [*own, CELL] if slicing.cuts is None else [*own, CELL, PART], slicing.tasks)
 
 
 def plain_keys(df: DataFrame, keys: Sequence[str], prefix: str = "_by") -> tuple[DataFrame, list[str]]:
@@ -169,8 +182,11 @@ def scan(
     running, running_max = dict(running or {}), dict(running_max or {})
     if index:
         running[index] = F.lit(1).cast("long")
+    if not slicing.measured:
+        slicing = measure(df, keys, order, slicing)
     rows, own = plain_keys(slice_rows(df, keys, order, slicing), keys)
     by = [*own, CELL, PART]
+    rows = dealt_slices(rows, own, slicing)
     at = _ordering(order, ties)
     names = [*before, *after, *last_seen, *next_seen, *running, *running_max]
     inputs = {**before, **after, **last_seen, **next_seen, **running, **running_max}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagledger.operators.rules import reasons
-from lagledger.operators.scan import Slicing, scan
+from lagledger.operators.scan import Slicing, dealt, scan
 
 
 def assemble_timeline(
@@ -95,6 +95,7 @@ def section_violations(
     Sections (key, phase, event_id, declared count) follow one another in ``order`` from frame 0. A frame must carry phase and
     event of the section its index falls into (``row_differs``), every section must find as many frames as declared
     (``section_truncated`` counts those that lack), and no frame may lie behind the last section (``outside_sections``, position NULL).
+    The tasks of ``frame_slicing`` hold for the counts per section as well.
     """
     from lagledger.operators.nearest import point_in_interval
 
@@ -106,12 +107,13 @@ def section_violations(
     )
     position = F.col("_in.position")
     fits = F.col("phase").eqNullSafe(F.col("_in._phase")) & F.col("event_id").eqNullSafe(F.col("_in._event"))
-    seen = placed.groupBy(*keys, position.alias("position")).agg(F.count(F.lit(1)).alias("_have"), F.count_if(~fits).alias("_other"))
-    # One row per section on both sides; NULL keys count as a key.
-    declared = spans.select(*keys, "position", (F.col("_stop") - F.col("_start")).alias("_want"))
-    both = seen.withColumn("_want", F.lit(0).cast("long")).unionByName(
-        declared.withColumns({"_have": F.lit(0).cast("long"), "_other": F.lit(0).cast("long")})
-    ).groupBy(*keys, "position").agg(*[F.sum(c).alias(c) for c in ("_have", "_other", "_want")])
+    # One row per section on both sides, counted in one grouping; NULL keys count as a key.
+    none = F.lit(0).cast("long")
+    seen = placed.select(*keys, position.alias("position"), F.lit(1).cast("long").alias("_have"), (~fits).cast("long").alias("_other"), none.alias("_want"))
+    declared = spans.select(*keys, "position", none.alias("_have"), none.alias("_other"), (F.col("_stop") - F.col("_start")).alias("_want"))
+    both = dealt(seen.unionByName(declared), [*keys, "position"], frame_slicing.tasks).groupBy(*keys, "position").agg(
+        *[F.sum(c).alias(c) for c in ("_have", "_other", "_want")]
+    )
     outside = F.col("position").isNull()
     found = lambda name, frames: F.struct(F.lit(name).alias("violation"), frames.alias("frames"))
     rules = F.array(

@@ -213,3 +213,16 @@ def test_a_long_ramp_is_decided_in_one_pass(spark):
     df = spark.range(100_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("t"), F.col("id").cast("double").alias("s"), "id")
     got = min_separation(df, ["k"], "t", "s", "id", 10.0, sc.Slicing(width=1e4))
     assert got.count() == 10_000
+
+
+def test_rows_of_a_shuffle_bound_its_tasks(spark):
+    """The session's number of partitions did not look at the rows: tasks and their memory grew with the table."""
+    from lagledger.operators.scan import Slicing, scan
+    from lagledger.session import tasks_for
+
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 0) is None and tasks_for(spark, fixed * 1_000_000) is None and tasks_for(spark, 216_000_000) == 216
+    df = spark.range(0, 5_000, 1, 2).selectExpr("id % 40 AS k", "id AS t")
+    more = scan(df, ["k"], "t", Slicing(width=500, tasks=30), index="i")
+    assert more.rdd.getNumPartitions() == 30
+    assert sorted(more.collect()) == sorted(scan(df, ["k"], "t", Slicing(width=500), index="i").collect())
