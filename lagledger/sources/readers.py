@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from lagledger.functions import text as tx
 from lagledger.operators.ledger import duplicate_keys, require_none
 from lagledger.operators.scan import Slicing, scan
+from lagledger.sources import fingerprints as fp
 
 # Default group colours, used in order of first appearance.
 DEFAULT_COLORS = ("#0072B2", "#D55E00", "#009E73", "#CC79A7", "#E69F00", "#56B4E9", "#6A3D9A", "#A6761D")
@@ -89,9 +90,17 @@ def normalize_manifest(clips: DataFrame, groups: DataFrame | None, position: str
 
 
 def fingerprint_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Name, size, modification time and SHA-256 of every file (contents stay on the executors)."""
+    """Name, size, modification time and SHA-256 of every file that is not empty (contents stay on the executors).
+
+    A file of up to ``fingerprints.WHOLE`` bytes is one value of one task; the bytes of a larger one are hashed in rounds
+    (:mod:`lagledger.sources.fingerprints`), whatever its size. Packed files (.gz and the like), and all files where Python
+    has no OpenSSL, stay one value, which Spark bounds by 2 GB.
+    """
+    limit = fp.WHOLE if fp.openssl() else fp.LARGEST_VALUE
     files = spark.read.format("binaryFile").load(glob)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    about = [F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    whole = files.filter(fp.in_one_value(limit)).select(*about, F.sha2("content", 256).alias("sha256"))
+    large = files.filter(~fp.in_one_value(limit)).select(F.col("_metadata.file_path").alias("path"), *about)
+    if large.isEmpty():
+        return whole
+    return whole.unionByName(large.join(fp.chained_digests(spark, glob, large, limit), "path").drop("path"))
