@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagledger.session import cut_lineage, shared_folder
+from lagledger.session import shared_folder
 
 WHOLE = 128 << 20  # bytes of a file up to which it is one value of one task, and of a larger file's round
 LARGEST_VALUE = (1 << 31) - 1  # Spark's own bound of one value
@@ -142,17 +142,23 @@ def chained_digests(spark: SparkSession, glob: str, large: DataFrame, limit: int
     )
     folder = f"{shared_folder(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
     schema = "path string, start long, place long, n long, round long, block binary"
-    lines.mapInArrow(_blocks(limit), schema).write.partitionBy("round").parquet(folder)
-    staged = spark.read.schema(schema).parquet(folder)
+    lines.mapInArrow(_blocks(limit), schema).write.option("compression", "none").partitionBy("round").parquet(f"{folder}/blocks")
+    staged = spark.read.schema(schema).parquet(f"{folder}/blocks")
+
+    def kept(states: DataFrame, name: str) -> DataFrame:
+        """Written once; a checkpoint would compute the round twice."""
+        states.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(states.schema).parquet(f"{folder}/{name}")
 
     # Bytes that the lines lack: a mark at the start (3), less the end after a last line without one (1).
     lacking = F.col("size") - F.col("held")
     checked = F.when(~lacking.isin(-1, 0, 2, 3), F.raise_error(F.concat(F.lit("bytes missing or changed in "), "path")).cast("boolean")).otherwise(lacking >= 2)
     held = staged.groupBy("path").agg(F.sum("n").alias("held"))
-    states = cut_lineage(
+    states = kept(
         large.select("path", "size").join(held, "path", "left").fillna(0, subset=["held"]).select(
             "path", "size", checked.alias("marked"), F.lit(None).cast("binary").alias("state"), F.lit(0).cast("long").alias("done"), F.lit(None).cast("string").alias("sha256")
-        )
+        ),
+        "before",
     )
     for k in range(-(-max(sizes) // limit)):
         going = F.broadcast(states.filter(F.col("sha256").isNull()).drop("sha256"))
@@ -160,8 +166,7 @@ def chained_digests(spark: SparkSession, glob: str, large: DataFrame, limit: int
         blocks = staged.filter(F.col("round") == k).join(going, "path").repartition(tasks, "path").sortWithinPartitions("path", "start", "place")
         new = blocks.mapInArrow(_advance, "path string, new_state binary, new_done long, new_sha256 string")
         own = ["state", "done", "sha256"]
-        states = cut_lineage(
-            states.join(new, "path", "left").select("path", "size", "marked", *[F.coalesce(f"new_{c}", c).alias(c) for c in own])
-        )
+        # One row per large file.
+        states = kept(states.join(F.broadcast(new), "path", "left").select("path", "size", "marked", *[F.coalesce(f"new_{c}", c).alias(c) for c in own]), f"after{k}")
     missing = F.raise_error(F.concat(F.lit("bytes missing or changed in "), "path")).cast("string")
     return states.select("path", F.coalesce("sha256", missing).alias("sha256"))
