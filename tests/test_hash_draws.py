@@ -3,7 +3,9 @@
 import random
 from statistics import median
 
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lagledger.operators import statistics as st
@@ -59,3 +61,30 @@ def test_draws_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
     dealt = st._hashed(st._replicates(sizes, 8, 1), F.col("_n"))
     per_task = [n for n in dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert sum(per_task) == 320_000 and len(per_task) >= 8 and max(per_task) <= 2 * 32_000
+
+
+QUERIES = {
+    "q2_bootstrap_median_diff": lambda df: st.bootstrap_median_difference(df, ["s"], "g", "v", iterations=B, seed=5, draws="hash"),
+}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_no_task_of_a_comparison_makes_the_draws_of_a_group(spark, monkeypatch, tmp_path, name):
+    """From the call to the result: every draw is made, none of the tasks makes more than its blocks."""
+    folder, plain = str(tmp_path), st._slot_draw
+
+    @F.pandas_udf("long")
+    def seen(u: pd.Series) -> pd.Series:
+        task = TaskContext.get()
+        with open(f"{folder}/{task.stageId()}-{task.partitionId()}", "a") as out:
+            out.write(f"{len(u)}\n")
+        return u
+
+    monkeypatch.setattr(st, "RANK_BLOCK", 500)
+    monkeypatch.setattr(st, "BLOCKS", 4)
+    monkeypatch.setattr(st, "_slot_draw", lambda stream, slot: seen(plain(stream, slot)))
+    r = random.Random(12)
+    rows = [("all", g, r.gauss(0, 1)) for g, n in (("candidate", 1_000), ("control", 3_000)) for _ in range(n)]
+    assert len(QUERIES[name](spark.createDataFrame(rows, "s string, g string, v double")).collect()) == 1
+    made = [sum(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert sum(made) >= len(rows) * B and max(made) <= 2 * 500 * 4
