@@ -65,6 +65,7 @@ def test_draws_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
 
 QUERIES = {
     "q2_bootstrap_median_diff": lambda df: st.bootstrap_median_difference(df, ["s"], "g", "v", iterations=B, seed=5, draws="hash"),
+    "q3_label_permutation": lambda df: st.label_permutation(df, ["s"], "g", "v", iterations=B, seed=6, draws="hash"),
 }
 
 
