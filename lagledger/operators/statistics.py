@@ -88,11 +88,14 @@ def _hashed(wanted: DataFrame, upto: Column) -> DataFrame:
     task makes its ranks itself.
     """
     blocks = F.ceil(upto / F.lit(RANK_BLOCK))
-    number = wanted.agg(F.sum(blocks)).first()[0] or 0
+    number, draws = (x or 0 for x in wanted.agg(F.sum(blocks), F.sum(upto)).first())
+    # Blocks of small groups are far from full: their draws count, not their number.
+    full = -(-int(draws) // (RANK_BLOCK * BLOCKS))
+    tasks = min(-(-number // BLOCKS), max(2 * full, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     first = F.col("_block") * F.lit(RANK_BLOCK)
     ranks = F.sequence(first, F.least(first + F.lit(RANK_BLOCK), upto) - F.lit(1))
     work = wanted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - F.lit(1))))
-    dealt = work.repartition(max(1, -(-number // BLOCKS))).withColumn("_rank", F.explode(ranks))
+    dealt = work.repartition(max(1, tasks)).withColumn("_rank", F.explode(ranks))
     return dealt.withColumn("_u", _slot_draw(F.col("_stream"), F.col("_rank")))
 
 

@@ -89,3 +89,11 @@ def test_no_task_of_a_comparison_makes_the_draws_of_a_group(spark, monkeypatch,
     assert len(QUERIES[name](spark.createDataFrame(rows, "s string, g string, v double")).collect()) == 1
     made = [sum(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
     assert sum(made) >= len(rows) * B and max(made) <= 2 * 500 * 4
+
+
+def test_small_groups_share_tasks(spark):
+    """Tasks go by draws: 2 000 groups of 30 rows used to make 1 250 tasks of 960 draws."""
+    sizes = spark.range(2_000).select(F.col("id").alias("s"), F.lit(30).cast("long").alias("_n"))
+    dealt = st._hashed(st._replicates(sizes, B, 1), F.col("_n"))
+    assert dealt.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.count() == 2_000 * 30 * B
