@@ -142,7 +142,8 @@ def _hashed_labelings(sizes: DataFrame, keys: list[str], iterations: int, seed:
     """(keys, _b, _c0, _c1, _k0, _k1): the middle ranks of both sides of each labeling.
 
     The k rows with the smallest draws are the candidates. The kth smallest draw is looked for in a bracket round
-    k / n; knowing it, a rank tells its side by itself, and the middle ranks of both sides are looked for round n / 2.
+    k / n; knowing it, a rank tells its side by itself, and the middle ranks of each side are looked for round n / 2, in
+    a bracket by the size of that side.
     """
     n, k, one = F.col("_n"), F.col("_k"), [*keys, "_b"]
     u, rank = F.col("_u"), F.col("_rank")
@@ -162,16 +163,22 @@ def _hashed_labelings(sizes: DataFrame, keys: list[str], iterations: int, seed:
 
     def middles(wanted: DataFrame) -> DataFrame:
         mine = (u < F.col("_cut._u")) | ((u == F.col("_cut._u")) & (rank <= F.col("_cut._rank")))
-        rows = _hashed(wanted, last + 1).withColumn("_in", mine)
-        counts = rows.groupBy(*one, "_n", "_k", "_in", F.when(rank >= first, rank).alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
+        own = lambda c: F.when(F.col("_in"), F.col(f"_c{c}")).otherwise(F.col(f"_k{c}"))
+        rows = _hashed(wanted, F.greatest("_c_to", "_k_to") + 1).withColumn("_in", mine)
+        # What lies above a side's bracket is one count at n, which is no rank; a filter would make the draws twice.
+        named = F.when(rank >= own("_from"), F.when(rank <= own("_to"), rank).otherwise(n)).alias("_x")
+        counts = rows.groupBy(*one, "_n", "_k", "_in", named).agg(F.count(F.lit(1)).alias("_w"))
         m = F.when(F.col("_in"), k).otherwise(n - k)
         sides = _places(counts, [*one, "_n", "_k", "_in"], {"_lo": F.floor((m - 1) / 2), "_hi": F.floor(m / 2)})
-        side = lambda c, own: F.max(F.when(F.col("_in") == F.lit(own), F.col(c)))
+        side = lambda c, own: F.max(F.when((F.col("_in") == F.lit(own)) & (F.col(c) < n), F.col(c)))
         return sides.groupBy(*one).agg(side("_lo", True).alias("_c0"), side("_hi", True).alias("_c1"), side("_lo", False).alias("_k0"), side("_hi", False).alias("_k1"))
 
-    half = n / F.sqrt(F.least(k, n - k)) * F.lit(SPREAD / 2) + F.lit(2)
-    bracket = {"_from": F.greatest(F.floor(n / 2 - half), F.lit(0)), "_to": F.least(F.ceil(n / 2 + half), n - 1)}
-    return _in_brackets(cuts.withColumns(bracket), one, middles, {"_from": F.lit(0).cast("long"), "_to": n - 1})
+    def round_middle(side: str, m: Column) -> dict[str, Column]:
+        half = n * F.sqrt(F.lit(1) / m - F.lit(1) / n) * F.lit(SPREAD / 2) + F.lit(2)
+        return {f"{side}_from": F.greatest(F.floor(n / 2 - half), F.lit(0)), f"{side}_to": F.least(F.ceil(n / 2 + half), n - 1)}
+
+    ends = {f"{side}{c}": x for side in ("_c", "_k") for c, x in (("_from", F.lit(0).cast("long")), ("_to", n - 1))}
+    return _in_brackets(cuts.withColumns(round_middle("_c", k) | round_middle("_k", n - k)), one, middles, ends)
 
 
 def _central(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

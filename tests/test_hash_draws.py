@@ -97,3 +97,26 @@ def test_small_groups_share_tasks(spark):
     dealt = st._hashed(st._replicates(sizes, B, 1), F.col("_n"))
     assert dealt.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt.count() == 2_000 * 30 * B
+
+
+def test_a_small_side_keeps_few_ranks_of_the_large_one(spark, monkeypatch):
+    """The bracket of 40 candidates used to keep nearly all of 4 000 ranks of every labeling, one row each."""
+    places, kept = st._places, []
+
+    def counted(counts, *rest):
+        kept.append(counts.count())
+        return places(counts, *rest)
+
+    monkeypatch.setattr(st, "_places", counted)
+    r = random.Random(13)
+    mine, theirs = (sorted(r.gauss(m, 1) for _ in range(n)) for m, n in ((0.1, 40), (0.0, 3_960)))
+    both = sorted(mine + theirs)
+    hits = 0
+    for b in range(B):
+        order = sorted(range(len(both)), key=lambda k: (hashed(6, b, k), k))
+        chosen, rest = order[: len(mine)], order[len(mine) :]
+        hits += median(both[k] for k in chosen) - median(both[k] for k in rest) >= median(mine) - median(theirs) - 1e-12
+    rows = [("all", "candidate", v) for v in mine] + [("all", "control", v) for v in theirs]
+    out = QUERIES["q3_label_permutation"](spark.createDataFrame(rows, "s string, g string, v double")).collect()
+    assert [(x["hits"], x["total"]) for x in out] == [(hits, B)]
+    assert kept and max(kept) <= 10_000
